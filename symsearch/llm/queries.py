@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symsearch.llm import decontamination, host_rules, packing, simhash
+from symsearch.llm import decontamination, host_rules, packing, pairwise_quality, secret_scan, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junk, then toxic, then both at once; the ids with remainder 0 train nothing."""
+    docs = table(spark, sf_dir, "documents")
+    bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), {"low_quality": bad, "toxic": toxic, "toxic_junk": bad & toxic}, ["quality", "toxic"])
+    scored = toxicity.score_toxicity(docs, chain)
+    return scored.select("doc_id", pairwise_quality.held_out("doc_id").alias("held_out"), "p_low_quality", "p_toxic", "p_toxic_junk", F.col("is_toxic").alias("toxic"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "nth", F.sha2("value", 256).alias("value_sha256"), F.char_length("value").alias("length"), "score", "is_secret")
+
+
+def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,13 +54,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
+    return sharding.place(docs)
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op7_simhash, op8_packing, op10_host_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scan, op6_pairwise_quality, op7_simhash, op8_packing, op9_sharding, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
