@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symsearch.llm import class_lm, decontamination, host_rules, packing, pairwise_quality, secret_scan, sharding, simhash, toxicity
+from symsearch.llm import class_lm, decontamination, host_rules, packing, pairwise_quality, repeats, secret_scan, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~class_lm.in_training("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,7 +75,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scan, op4_class_lm, op6_pairwise_quality, op7_simhash, op8_packing, op9_sharding, op10_host_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scan, op4_class_lm, op5_suffix_dedup, op6_pairwise_quality, op7_simhash, op8_packing, op9_sharding, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
