@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symsearch.llm import decontamination, host_rules, packing, simhash
+from symsearch.llm import decontamination, host_rules, packing, secret_scan, simhash
 from symsearch.llm.common import written
 from symsearch.llm.queries import table, word_bpe
 
@@ -25,6 +25,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are redacted; no document goes."""
+    return secret_scan.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document in sequences of 4096 tokens."""
     pieces = packing.pack(docs, word_bpe())
@@ -35,6 +40,7 @@ STAGES = [
     ("quality rules", quality_rules),
     ("near duplicates", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
     ("packing", pack),
 ]
 
