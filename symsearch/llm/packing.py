@@ -11,7 +11,10 @@ window boundaries; a window over a partition's end is simply named by pieces
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,36 +23,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symsearch.llm.common import as_type, chunks, texts, written
+from symsearch.llm.common import LOWER, as_type, chunks, texts, written
 
 LENGTH, END = 4096, 2
-#: A worker forgets its words beyond so many.
-WORDS_KEPT = 300_000
+#: Of so many words, about, a worker remembers the ids in each of two generations.
+WORDS_KEPT = 200_000
+#: A run of these after a letter or digit is a token group of its own.
+_SIGNS = b".,;:!?%*&$#|"
+
+
+def _ends_with_letter(stem: bytes) -> bool:
+    return bool(stem) and (stem[-1:].isalnum() or stem[-1] > 127 and stem[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalpha())
+
+
+#: Words of Latin letters in lower case: no normalizer changes them and no pre-tokenizer parts them.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+#: Stands for the end of a word; no UTF-8 text has this byte.
+_WORD_END = b"\xff"
+
+
+def _bpe_core(path: str):
+    """The file's merges in a faster core for words of _PLAIN, and the ids of the core's ranks; (None, []) if the file isn't of that kind.
+
+    The core merges by the rank of the outcome.  Each token is the outcome of
+    one merge, so that is the file's order; an end joins the last byte first.
+    The tests compare both on many words.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
+        return None, []
+    # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and up
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ranks: dict[bytes, int] = {}
+    ids: list[int] = []
+    for t in [*(c + "</w>" for c in byte_of), *byte_of, *merged]:
+        raw = bytes(byte_of[c] for c in t.removesuffix("</w>")) + _WORD_END * t.endswith("</w>")
+        if raw in ranks or t not in model["vocab"]:
+            return None, []
+        ranks[raw] = len(ids)
+        ids.append(model["vocab"][t])
+    ranks[_WORD_END] = len(ids)
+    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe, ids
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that never joins what ASCII white space parts: each word is tokenized once and remembered."""
+    """Ids of a tokenizer that lower-cases and never joins letters with signs, or what ASCII white space parts.
+
+    Each word is tokenized once and remembered; the signs after a word are
+    tokenized on their own.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.fast, self.fast_ids = _bpe_core(path)
+        self.young, self.old = _Words(self), _Words(self)
 
     def encode(self, texts_: list[bytes]) -> list[bytes]:
-        """The ids of each text, as little-endian bytes."""
-        split = [t.split() for t in texts_]
-        known = self.known
-        new = list({w for t in split for w in t if w not in known})
-        if len(known) + len(new) > WORDS_KEPT:
-            known.clear()
-            new = list({w for t in split for w in t})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, coded, strict=True))
-        return [b"".join(map(known.__getitem__, t)) for t in split]
+        """The ids of each text, as little-endian bytes.
+
+        Words that have not been met for a while are forgotten: a full
+        generation becomes the old one, and what is used again gets young.
+        """
+        if len(self.young) > WORDS_KEPT:
+            self.young, self.old = _Words(self), self.young
+        look = self.young.__getitem__
+        # the tokenizer lower-cases too, but looks for its special tokens before that
+        return [b"".join(map(look, (t if b"<|" in t else t.translate(LOWER)).split())) for t in texts_]
+
+    def learn(self, word: bytes) -> bytes:
+        if (ids := self.old.get(word)) is not None:
+            return ids
+        if self.fast and _PLAIN.fullmatch(word):
+            return array(self.kind, map(self.fast_ids.__getitem__, self.fast.encode_single_piece(word + _WORD_END))).tobytes()
+        if len(stem := word.rstrip(_SIGNS)) < len(word) and _ends_with_letter(stem):
+            return self.young[stem] + self.young[word[len(stem) :]]
+        return array(self.kind, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+
+class _Words(dict):
+    """Ids by word; a word that isn't known is learnt when it is looked up."""
+
+    def __init__(self, tokenizer_: WordTokenizer) -> None:
+        self.learn = tokenizer_.learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.learn(word)
+        return ids
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -71,7 +139,7 @@ def tokenized(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
         tail = b"" if end is None else np.array([end], coder.dtype).tobytes()
         for batch in batches:
             all_texts = texts(batch.column(1))
-            for a, b in chunks(all_texts):
+            for a, b in chunks(all_texts, 4 << 20):
                 ids = [x + tail for x in coder.encode(all_texts[a:b])]
                 n = np.array([len(x) // coder.dtype.itemsize for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
