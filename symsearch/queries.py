@@ -138,7 +138,7 @@ def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), "text:that lang:en n_chars:..2000", Parser(DOC)).select("doc_id", "lang", "n_chars")
 
 
-@query("select page_id, url from pages where starts_with(regexp_extract(regexp_replace(url, '//+', '/', 'g'), '[^/]*$'), '6')")
+@query("select page_id, url from pages where starts_with(regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$'), '6')")
 def url_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.where(basename(normalise_path("url")).startswith("6")).select("page_id", "url")
@@ -269,7 +269,7 @@ def distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sections of symbols from line items: in each order a line begins at its part's number and is as long as its quantity.
 RELOC_SQL = """s as (select cast(l_orderkey as varchar) as file, l_returnflag as section, l_partkey as address, cast(l_quantity as bigint) as size,
- cast(l_linenumber as bigint) * 100000 + l_suppkey as ord, 'line' || l_linenumber as name from lineitem),
+ cast(l_linenumber as bigint) * 100000000 + l_suppkey * 100 + cast(l_quantity as bigint) as ord, 'line' || l_linenumber as name from lineitem),
  r as (select cast(l_orderkey as varchar) as file, l_returnflag as section, l_partkey + k as r_offset, 'supp' || l_suppkey as target
  from lineitem, (values (-7), (0), (3), (25), (60)) v(k)),
  pq as (select r.file, r.section, r.r_offset, r.target,
@@ -281,7 +281,7 @@ RELOC_SQL = """s as (select cast(l_orderkey as varchar) as file, l_returnflag as
 
 def reloc_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_returnflag").alias("section"), "l_partkey", "l_quantity", "l_linenumber", "l_suppkey")
-    symbols = lines.select("file", "section", F.col("l_partkey").alias("address"), F.col("l_quantity").cast("long").alias("size"), (F.col("l_linenumber").cast("long") * 100000 + F.col("l_suppkey")).alias("ord"), F.concat(F.lit("line"), "l_linenumber").alias("name"))
+    symbols = lines.select("file", "section", F.col("l_partkey").alias("address"), F.col("l_quantity").cast("long").alias("size"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("ord"), F.concat(F.lit("line"), "l_linenumber").alias("name"))
     offsets = lines.select("file", "section", F.explode(F.transform(F.array(*map(F.lit, (-7, 0, 3, 25, 60))), lambda k: F.col("l_partkey") + k)).alias("r_offset"), F.concat(F.lit("supp"), "l_suppkey").alias("target"))
     return symbols, offsets.distinct()
 
