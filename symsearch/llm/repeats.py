@@ -216,7 +216,8 @@ def repeated_spans(docs: DataFrame, facts: DataFrame, *, id_col: str = "doc_id",
     long = docs.where(F.octet_length(text_col) >= length).select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     lists = written(long.mapInArrow(read, "key binary, first array<int>, last array<int>, core array<long>, context array<long>"), "marks")
     # (2) cores that occur more than once
-    twice = lists.select(F.explode("core").alias("core")).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    # written, so that nothing stands between the join and its exchanges and Spark can split a core with many copies
+    twice = written(lists.select(F.explode("core").alias("core")).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
     each = lists.select("key", F.explode(F.arrays_zip("first", "last", "core", "context")).alias("m")).select("key", "m.first", "m.last", "m.core", "m.context")
     shared = written(each.join(twice, "core"), "shared-marks")
     # (3) contexts of each core, and how often each occurs
