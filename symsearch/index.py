@@ -181,9 +181,10 @@ class SymbolIndex:
         if meta["__data__"] != self._base:
             shutil.rmtree(os.path.join(self.path, name))
             raise ModifiedError("another writer has changed the index")
-        self._put({**meta, "__data__": name})
-        if self._base:
-            shutil.rmtree(os.path.join(self.path, self._base), ignore_errors=True)
+        self._put({**meta, "__data__": name, "__before__": self._base})
+        # the version before stays for those who are reading it
+        if oldest := meta.get("__before__"):
+            shutil.rmtree(os.path.join(self.path, oldest), ignore_errors=True)
 
     def _changed(self, change) -> None:
         self._check(writing=True)
@@ -296,7 +297,7 @@ def delete_index(path: str, *, metadata_too: bool = False, dry_run: bool = False
             with open(meta) as f:
                 kept = json.load(f)
             with open(meta, "w") as f:
-                json.dump({**kept, "__data__": None}, f)
+                json.dump({**kept, "__data__": None, "__before__": None}, f)
     return gone
 
 
