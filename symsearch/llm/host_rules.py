@@ -70,8 +70,8 @@ def base_failed() -> Column:
 
 
 def rule_failed() -> Column:
-    """Over one symbol in ten words, over 30 % repeated lines, or words of under 2 or over 15 characters on average."""
-    return (10 * F.col("n_symbols") > F.col("n_words")) | (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")) | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))
+    """Over one symbol in ten words, over half of the lines repeated, or words of under 2 or over 15 characters on average."""
+    return (10 * F.col("n_symbols") > F.col("n_words")) | (2 * F.col("n_dup_lines") > F.col("n_lines")) | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))
 
 
 def host_verdicts(facts: DataFrame, host_col: str, bad_rate: float = BAD_RATE, trusted_rate: float = TRUSTED_RATE) -> DataFrame:
@@ -134,7 +134,7 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "sourc
             hard, soft = [], []
             for n, chars, symbols, dup, rep, lines in map(measure, texts(batch.column(at))):
                 hard.append(n < 50 or 100 * rep > 50 * n)
-                soft.append(10 * symbols > n or 100 * dup > 30 * lines or chars < 2 * n or chars > 15 * n)
+                soft.append(10 * symbols > n or 2 * dup > lines or chars < 2 * n or chars > 15 * n)
             keep = pa.array([not x for x in hard], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hard, pa.bool_()), pa.array(soft, pa.bool_())], names=names).filter(keep)
 

@@ -30,7 +30,7 @@ m as (select d.doc_id, source, cast(len(w) as bigint) as n_words, cast(length(re
  cast(len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as bigint) as n_kinds, coalesce(rep.n, 0) as n_repeat_words
  from d left join rep using (doc_id)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
- 10 * n_symbols > n_words or 100 * (n_lines - n_kinds) > 30 * n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words as rule_failed from m),
+ 10 * n_symbols > n_words or 2 * (n_lines - n_kinds) > n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words as rule_failed from m),
 h as (select source, count(*) as n, cast(sum(case when base_failed or rule_failed then 1 else 0 end) as double) as k from f where source is not null group by source),
 mom as (select sum(k) / sum(n) as mean, sum(k * k / n) / sum(n) as sq, count(*) as hosts, sum(n) as docs from h),
 var as (select mean, mean * (1 - mean) as within, sq - mean * mean - (hosts - 1) * mean * (1 - mean) / docs as between_ from mom),

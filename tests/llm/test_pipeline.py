@@ -20,7 +20,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         n, chars, symbols, dup, rep = plain_measures(r.text)
         lines = len([x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
         hard = n < 50 or 100 * rep > 50 * n
-        soft = 10 * symbols > n or 100 * dup > 30 * lines or chars < 2 * n or chars > 15 * n
+        soft = 10 * symbols > n or 2 * dup > lines or chars < 2 * n or chars > 15 * n
         facts[r.doc_id] = hard, soft
         hosts[r.source][0] += 1
         hosts[r.source][1] += hard or soft
