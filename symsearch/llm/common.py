@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: About this many bytes of text are turned into arrays at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
