@@ -207,11 +207,18 @@ def repeated_spans(docs: DataFrame, facts: DataFrame, *, id_col: str = "doc_id",
     """(key, spans) of each distinct text that loses bytes; spans: (start, stop) in bytes, which may overlap."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies: dict[bytes, int] = {}  # of the task's texts
         for batch in batches:
             all_texts = texts(batch.column(1))
             for a in range(0, len(all_texts), 1000):
-                lists = mark_texts(all_texts[a : a + 1000], length, span)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1000), *lists.values()], names=["key", *lists])
+                # whether a string occurs once or more often is all that counts: two copies say the same as a thousand
+                keys, chosen = batch.column(0).slice(a, 1000), []
+                for i, key in enumerate(keys.to_pylist()):
+                    copies[key] = n = copies.get(key, 0) + 1
+                    if n <= 2:
+                        chosen.append(i)
+                lists = mark_texts([all_texts[a + i] for i in chosen], length, span)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(chosen, pa.int64())), *lists.values()], names=["key", *lists])
 
     long = docs.where(F.octet_length(text_col) >= length).select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     lists = written(long.mapInArrow(read, "key binary, first array<int>, last array<int>, core array<long>, context array<long>"), "marks")
