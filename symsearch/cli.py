@@ -85,8 +85,8 @@ def options_of(pairs: list[str], settings: config_.Indexing) -> index_.Options:
     for pair in pairs:
         key, eq, value = pair.partition("=")
         key = key.replace("-", "_")
-        if key not in out.__dataclass_fields__:
-            raise ValueError(f"unknown option {key!r}, known: {', '.join(out.__dataclass_fields__)}")
+        if key not in settings.__dataclass_fields__ or key not in out.__dataclass_fields__:
+            raise ValueError(f"unknown option {key!r}, known: demangle_names, index_relocations, min_symbol_size, use_dwarfdump")
         if isinstance(getattr(out, key), bool):
             yes = {"true": True, "1": True, "yes": True, "y": True, "": not eq, "false": False, "0": False, "no": False, "n": False}
             if value.lower() not in yes:
@@ -109,8 +109,10 @@ def run_index(spark: SparkSession, args: argparse.Namespace, settings: config_.C
         with sys.stdin if args.files_from == "-" else open(args.files_from) as f:
             files = [line.rstrip("\n") for line in f if line.strip()]
     own = settings.indexing
+    options = options_of(args.option, own)
+    options.dwarfdump = settings.for_machine("default").dwarfdump
     done = index_.index_directory(
-        spark, args.directory, path, options=options_of(args.option, own), files=files, extra_globs=(*own.extra_globs, *args.extra_glob),
+        spark, args.directory, path, options=options, files=files, extra_globs=(*own.extra_globs, *args.extra_glob),
         use_compilation_database=args.use_compilation_database, reindex=args.reindex, exclusions=(*own.exclude, *args.exclude), dry_run=args.dry_run,
     )
     if args.dry_run:

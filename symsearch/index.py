@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symsearch.functions.terms import name_terms
-from symsearch.operators import completion, fileset, ranking
+from symsearch.operators import completion, fileset, ranking, tools
 from symsearch.plans.compiler import search
 from symsearch.plans.fields import NameField, ReferencesField, Schema, SchemaError, terms_column
 from symsearch.plans.lexer import QueryError
@@ -61,6 +61,7 @@ class Options:
     index_relocations: bool = False
     min_symbol_size: int = 1
     use_dwarfdump: bool = True
+    dwarfdump: str = "dwarfdump"
 
 
 @dataclass
@@ -249,6 +250,18 @@ def hits(index: SymbolIndex, query: str, limit: int | None = None) -> DataFrame:
     return fileset.with_staleness(numbered, stat_files(index.spark, named)).orderBy("index")
 
 
+def _sources(spark: SparkSession, directory: str, changed: DataFrame, options: Options) -> DataFrame | None:
+    """(binary, source): from the compilation database, else from debug information, else null."""
+    database = compdb.find(directory)
+    known = compdb.read(spark, database) if database else None
+    if not (options.use_dwarfdump and shutil.which(options.dwarfdump)):
+        return known
+    told = tools.dwarf_sources(changed, options.dwarfdump).withColumnRenamed("path", "binary")
+    if known is None:
+        return told
+    return known.unionByName(told.join(known.select("binary"), "binary", "left_anti"))
+
+
 def index_directory(spark: SparkSession, directory: str, index_path: str, *, options: Options | None = None, files: list[str] | None = None, extra_globs: tuple[str, ...] = (), use_compilation_database: bool = False, reindex: bool = False, exclusions: tuple[str, ...] = (), dry_run: bool = False) -> Stats | DataFrame:
     """Bring an index up to date with a directory; ``dry_run``: the plan (action, path) instead."""
     options, directory = options or Options(), os.path.realpath(directory)
@@ -272,8 +285,7 @@ def index_directory(spark: SparkSession, directory: str, index_path: str, *, opt
         changed, deleted = changed.cache(), deleted.cache()
         stats = Stats(changed=changed.count(), deleted=deleted.count(), exclusions=charged)
         if stats.changed or stats.deleted:
-            database = compdb.find(directory)
-            sources = compdb.read(spark, database) if database else None
+            sources = _sources(spark, directory, changed, options)
             symbols, errors = read_symbols(spark, changed, demangle_names=options.demangle_names, with_relocations=options.index_relocations, min_symbol_size=options.min_symbol_size, sources=sources)
             stats.errors = [tuple(r) for r in errors.collect()]
             index.replace_files(symbols, changed, deleted)

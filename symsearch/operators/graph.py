@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symsearch.operators.checkpoints import checkpointed
+
 
 def edges(symbols: DataFrame, id_col: str = "id") -> DataFrame:
     """(src, dst) of symbols (id, name, relocations): src refers to dst's name exactly."""
@@ -36,18 +38,6 @@ class Progress:
     done: Callable[[int, int], object] = lambda done, total: None
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir``, which all executors share; in local tests to one of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="symsearch-"))
-    return df.checkpoint()
-
-
 def levels(graph: DataFrame, goals: DataFrame, *, most: int | None = None, progress: Progress | None = None) -> DataFrame:
     """(goal, node, next, hops): for each goal each node that leads to it, the next node on a shortest way, and the number of edges.
 

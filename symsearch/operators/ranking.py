@@ -8,10 +8,12 @@ aggregation; the score then is column arithmetic.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symsearch.operators.checkpoints import checkpointed
 from symsearch.plans.ast import Leaf, leaves
 from symsearch.plans.compiler import predicate
 from symsearch.plans.fields import IntegerField, NameField, Schema
@@ -71,5 +73,16 @@ def ranked(df: DataFrame, query: str, parser: Parser, ties: tuple[str, ...] = ("
 
 
 def with_ordinals(rows: DataFrame, *order: str | Column) -> DataFrame:
-    """``rows`` (some hits, after their limit) with ``index`` from 0 and ``total``."""
-    return rows.withColumn("index", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    """``rows`` in order, with ``index`` from 0 and ``total``.
+
+    The rows are sorted over all tasks; a number for each partition, how many
+    rows come before it, makes places in partitions places in the whole.
+    """
+    placed = checkpointed(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = sorted(tuple(r) for r in placed.groupBy(part).agg(F.count(F.lit(1))).collect())
+    begins = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
+    begin = F.lit(0).cast("long")
+    if begins:
+        begin = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in begins.items() for x in pair)), part)
+    return placed.withColumn("index", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + begin).withColumn("total", F.lit(sum(n for _, n in counts)).cast("long")).drop("__at")

@@ -306,7 +306,7 @@ def latest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sym(spark, sf_dir).select("id", "mtime").orderBy(F.desc("mtime")).limit(1)
 
 
-@query(f"with {SYM_SQL}, h as (select id, path, address from sym where size >= 40 order by path, address limit 50) select id, cast(row_number() over (order by path, address) - 1 as integer) as \"index\", count(*) over () as total from h")
+@query(f"with {SYM_SQL}, h as (select id, path, address from sym where size >= 40 order by path, address limit 50) select id, row_number() over (order by path, address) - 1 as \"index\", count(*) over () as total from h")
 def hit_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search(sym(spark, sf_dir), "size:40..", SYM_PARSER).select("id", "path", "address").orderBy("path", "address").limit(50)
     return ranking.with_ordinals(rows, "path", "address").select("id", "index", "total")
