@@ -4,26 +4,29 @@ A string of LENGTH bytes is a window.  Each window is owned by a mark: of the
 positions at which its first SPAN grams start, the one whose gram hashes lowest.
 Equal windows have their marks at the same place, so whatever a window equals is
 owned by a mark with the same core, the bytes from the mark on that all windows
-it may own contain.  This sends equal windows to the same place without sending
-all windows:
+it may own contain.  This brings equal windows together without sending all:
 
 1. each text is read once, to find its marks; of each, the hash of the core and
    that of its context (all windows that it owns) are kept;
 2. cores that occur once are done: their windows occur once;
 3. of the others, contexts that occur twice or more are done: their windows all
    occur again;
-4. where a core has contexts that occur once, one document for each context
-   hashes the windows owned there, and equal hashes are found.
-
-All of this is adding up by hash: no group is gathered, whatever the number of
-its copies.  A text is read again only in (4) and, for what is left of it, if it
-loses bytes.
+4. contexts that occur once are matched against all other contexts of their core
+   by a run-length index (:mod:`symsearch.llm.run_length_index`), in which a core
+   is one symbol: a run-compressed transform of the contexts of some cores, whose
+   streamed match lengths mark the windows that also start elsewhere.
+
+No group is gathered without a bound: (2) and (3) add up by hash, and a core
+with more than CORE_MOST different contexts, so many that its index would be
+large, has the windows in them counted by hash instead.  A text is read again
+only in (4) and, for what is left of it, if it loses bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symsearch.llm.common import texts, written
+from symsearch.llm.run_length_index import RunLengthIndex
 
 LENGTH, SPAN, GRAM = 400, 64, 32
 #: Values of the short hash that is sent to all tasks.
 BUCKETS = 1 << 20
+#: An index holds about so many contexts, and so many of one core at most.
+INDEX_CONTEXTS, CORE_MOST = 8192, 4096
 #: Texts are hashed in blocks of about so many bytes, long ones piece by piece.
 BLOCK = 1 << 20
 
@@ -89,14 +95,14 @@ class Hasher:
             return _mixed((self.sums[start + size] - self.sums[start]) * self.down[start])
 
 
-def marks(block: bytes, ends: np.ndarray, length: int = LENGTH, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, core): the windows of each mark, by their starts, and the core's hash.
+def marks(block: bytes, ends: np.ndarray, length: int = LENGTH, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, left, core): the windows of each mark, by their starts, the bytes from the first start to the mark, and the core's hash.
 
     ``ends``: where each text in the block ends; no window crosses an end.
     """
     none = np.zeros(0, np.int64)
     if len(block) < length:
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     hasher = Hasher(block)
     lowest = hasher.all(min(gram, length - span + 1))
     lowest &= ~_PLACE
@@ -119,7 +125,7 @@ def marks(block: bytes, ends: np.ndarray, length: int = LENGTH, span: int = SPAN
     first = np.flatnonzero(change)
     last = np.concatenate((first[1:] - 1, [n - 1]))
     first, last = first[valid[first]], last[valid[first]]
-    return first, last, hasher.at(owner[first], length - span + 1)
+    return first, last, owner[first] - first, hasher.at(owner[first], length - span + 1)
 
 
 def blocks(all_texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
@@ -157,18 +163,18 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
 
 
 def mark_texts(all_texts: list[bytes], length: int, span: int) -> dict[str, pa.Array]:
-    """For each text lists with an entry for each of its marks: first, last, core, context."""
+    """For each text lists with an entry for each of its marks: first, last, left, core, context."""
     found: list[tuple[np.ndarray, ...]] = []
     for held, rows, starts in blocks(all_texts, length):
         block, ends = b"".join(held), np.cumsum([len(h) for h in held])
-        first, last, core = marks(block, ends, length, span)
+        first, last, left, core = marks(block, ends, length, span)
         digest = xxhash.xxh3_64_intdigest
         context = np.array([digest(block[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
         piece = np.searchsorted(ends, first, side="right")
         shift = np.array(starts, np.int64)[piece] - (ends - [len(h) for h in held])[piece] if len(first) else first
-        found.append((np.array(rows, np.int64)[piece] if len(first) else first, first + shift, last + shift, core, context))
-    owner, first, last, core, context = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
-    return {k: _lists(owner, len(all_texts), v) for k, v in {"first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32)), "core": _signed(core), "context": _signed(context)}.items()}
+        found.append((np.array(rows, np.int64)[piece] if len(first) else first, first + shift, last + shift, left, core, context))
+    owner, first, last, left, core, context = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 6
+    return {k: _lists(owner, len(all_texts), v) for k, v in {"first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32)), "left": pa.array(left.astype(np.int16)), "core": _signed(core), "context": _signed(context)}.items()}
 
 
 def text_key(text_col: str = "text") -> Column:
@@ -221,44 +227,113 @@ def repeated_spans(docs: DataFrame, facts: DataFrame, *, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(chosen, pa.int64())), *lists.values()], names=["key", *lists])
 
     long = docs.where(F.octet_length(text_col) >= length).select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    lists = written(long.mapInArrow(read, "key binary, first array<int>, last array<int>, core array<long>, context array<long>"), "marks")
+    lists = written(long.mapInArrow(read, "key binary, first array<int>, last array<int>, left array<short>, core array<long>, context array<long>"), "marks")
     # (2) cores that occur more than once
     # written, so that nothing stands between the join and its exchanges and Spark can split a core with many copies
     twice = written(lists.select(F.explode("core").alias("core")).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
-    each = lists.select("key", F.explode(F.arrays_zip("first", "last", "core", "context")).alias("m")).select("key", "m.first", "m.last", "m.core", "m.context")
+    each = lists.select("key", F.explode(F.arrays_zip("first", "last", "left", "core", "context")).alias("m")).select("key", "m.first", "m.last", "m.left", "m.core", "m.context")
     shared = written(each.join(twice, "core"), "shared-marks")
     # (3) contexts of each core, and how often each occurs
-    contexts = written(shared.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last")).alias("one")), "contexts")
+    contexts = written(shared.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last", "left")).alias("one")), "contexts")
     sure = shared.join(contexts.where("n > 1").select("core", "context"), ["core", "context"]).select("key", "first", "last")
-    # (4) windows of one text for each context, of the cores that have a context which occurs once
-    unsure = contexts.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("least = 1 and k > 1").select("core")
-    asked = contexts.join(unsure, "core").select("core", (F.col("n") > 1).alias("sure"), "one.key", "one.first", "one.last")
-    asked = written(asked.groupBy("key").agg(F.collect_list(F.struct("core", "sure", "first", "last")).alias("asked")), "asked")
+    # (4) one text for each context, of the cores that have a context which occurs once
+    unsure = contexts.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("least = 1 and k > 1").select("core", (F.col("k") > CORE_MOST).alias("many"))
+    asked = contexts.join(unsure, "core").select("core", "many", (F.col("n") > 1).alias("sure"), "one.key", "one.first", "one.last", "one.left")
+    asked = written(asked.groupBy("key").agg(F.collect_list(F.struct("core", "many", "sure", "first", "last", "left")).alias("asked")), "asked")
+    chosen = _texts_of(docs, written(_one_each(facts, asked.select("key")), "asked-ids"), id_col, text_col).join(asked, "key")
+    pieces = chosen.select("key", "text", "asked").mapInArrow(partial(_context_pieces, length=length, span=span), "core long, many boolean, sure boolean, key binary, first int, head binary, tail binary")
+    pieces = written(pieces.dropDuplicates(["key", "core", "first"]), "contexts-asked")
+    few = pieces.where("not many").repartition("core").sortWithinPartitions("core")
+    more = few.mapInArrow(partial(_indexed, span=span), "key binary, first int, last int")
+    if not (crowded := pieces.where("many")).isEmpty():
+        more = more.union(_counted_windows(crowded, length, span))
+    spans = sure.union(more).select("key", F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop")).alias("s"))
+    return written(spans.groupBy("key").agg(F.collect_set("s").alias("spans")), "spans")
+
+
+def _context_pieces(batches: Iterator[pa.RecordBatch], length: int, span: int) -> Iterator[pa.RecordBatch]:
+    """For (key, text, asked): the bytes of each context before and after its core."""
+    size = length - span + 1
+    for batch in batches:
+        all_texts, lists = texts(batch.column(1)), batch.column(2)
+        flat = lists.flatten()
+        first, last, left = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("first", "last", "left"))
+        offsets = lists.offsets.to_numpy()
+        owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        for a in range(0, len(first), 20_000):
+            part = slice(a, a + 20_000)
+            rows = list(zip(owner[part].tolist(), first[part].tolist(), (first + left)[part].tolist(), (last + length)[part].tolist(), strict=True))
+            heads = [all_texts[i][f:q] for i, f, q, _ in rows]
+            tails = [all_texts[i][q + size : e] for i, _, q, e in rows]
+            own = flat.slice(a, 20_000)
+            yield pa.RecordBatch.from_arrays(
+                [*(own.field(k) for k in ("core", "many", "sure")), batch.column(0).take(pa.array(owner[part])), own.field("first"), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())],
+                names=["core", "many", "sure", "key", "first", "head", "tail"],
+            )
+
+
+#: In an index: bytes, then cores, then an end for each context.
+_CORES, _ENDS = 256, 1 << 15
+
+
+def marked_windows(contexts: list[tuple[int, bool, bytes, bytes]], span: int) -> list[list[tuple[int, int]]]:
+    """For contexts (core, sure, head, tail), those of one core side by side: of each that isn't sure the runs of its windows that occur elsewhere.
+
+    A window is ``span`` symbols, as its core is one.
+    """
+    text = np.frombuffer(b"".join(b"%s\0%s\0" % (h, t) for _, _, h, t in contexts), np.uint8).astype(np.int64)
+    heads, tails = (np.array([len(c[i]) for c in contexts], np.int64) for i in (2, 3))
+    begins = np.cumsum(heads + tails + 2) - (heads + tails + 2)
+    cores = np.array([c[0] for c in contexts])
+    text[begins + heads] = _CORES + np.concatenate(([0], np.cumsum(cores[1:] != cores[:-1])))
+    text[begins + heads + 1 + tails] = _ENDS + np.arange(len(contexts))
+    found = RunLengthIndex.build(text).longest_elsewhere() >= span
+    out: list[list[tuple[int, int]]] = []
+    for begin, head, tail, (_, sure, _, _) in zip(begins.tolist(), heads.tolist(), tails.tolist(), contexts, strict=True):
+        own = found[begin : begin + head + tail + 2 - span]
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))) if not sure and own.any() else []
+        out.append([(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)])
+    return out
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """(key, first, last) of repeated windows, from pieces sorted by core."""
+    held: list[tuple] = []
+
+    def done() -> pa.RecordBatch:
+        runs = marked_windows([(c, s, h, t) for c, s, _, _, h, t in held], span)
+        rows = [(key, first + a, first + b) for (_, _, key, first, _, _), own in zip(held, runs, strict=True) for a, b in own]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))], names=["key", "first", "last"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in ("core", "sure", "key", "first", "head", "tail")), strict=True):
+            if len(held) >= INDEX_CONTEXTS and row[0] != held[-1][0]:
+                yield done()
+            held.append(row)
+    if held:
+        yield done()
+
+
+def _counted_windows(pieces: DataFrame, length: int, span: int) -> DataFrame:
+    """The same for cores with any number of contexts: each window's hash is counted."""
 
     def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            all_texts, lists = texts(batch.column(1)), batch.column(2)
-            flat = lists.flatten()
-            first, last, core, sure_ = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last", "core", "sure"))
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            for a in range(0, len(first), 2000):
-                part = slice(a, a + 2000)
-                n = last[part] - first[part] + 1
-                start = np.repeat(first[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                of = np.repeat(owner[part], n)
-                window = np.array([digest(all_texts[i][p : p + length]) for i, p in zip(of.tolist(), start.tolist(), strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(of)), pa.array(np.repeat(core[part], n)), pa.array(np.repeat(sure_[part], n)), pa.array(start.astype(np.int32)), _signed(window)],
-                    names=["key", "core", "sure", "start", "window"],
-                )
-
-    chosen = _texts_of(docs, written(_one_each(facts, asked.select("key")), "asked-ids"), id_col, text_col).join(asked, "key")
-    windows = written(chosen.select("key", "text", "asked").mapInArrow(hash_windows, "key binary, core long, sure boolean, start int, window long"), "windows")
+            # the core is the same for all that are compared: it needn't be hashed
+            whole = [(h + b"\xff" + t) for h, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            n = np.array([len(w) - span + 1 for w in whole], np.int64)
+            of = np.repeat(np.arange(len(whole)), n)
+            start = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            window = np.array([digest(whole[i][p : p + span]) for i, p in zip(of.tolist(), start.tolist(), strict=True)], np.uint64)
+            taken = pa.array(of)
+            first = batch.column(2).to_numpy()[of] + start
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), batch.column(5).take(taken), pa.array(first.astype(np.int32)), _signed(window)], names=["core", "sure", "key", "first", "window"])
+
+    windows = written(pieces.select("core", "sure", "first", "head", "tail", "key").mapInArrow(hash_windows, "core long, sure boolean, key binary, first int, window long"), "windows")
     equal = windows.groupBy("core", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "window")
-    more = windows.where("not sure").join(equal, ["core", "window"]).select("key", F.col("start").alias("first"), F.col("start").alias("last"))
-    spans = sure.union(more).select("key", F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop")).alias("s"))
-    return written(spans.groupBy("key").agg(F.collect_set("s").alias("spans")), "spans")
+    return windows.where("not sure").join(equal, ["core", "window"]).select("key", "first", F.col("first").alias("last"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

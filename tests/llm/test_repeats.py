@@ -4,9 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from symsearch.llm import queries, repeats
+from symsearch.llm.run_length_index import RunLengthIndex, suffix_array
 from tests.llm.fixtures import empty, odd
 
 
@@ -55,6 +57,44 @@ def test_against_brute_force(spark, seed):
     assert check(spark, [*rows, rows[1], None, "", "x" * 399, "y" * 400, "z" * 401, "ab" * 900]) > 1000
 
 
+def test_crowded_cores_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CORE_MOST", 1)
+    assert check(spark, varied(7)) > 1000
+
+
+def test_small_indexes(spark):
+    """As many indexes as cores: (4) doesn't depend on what shares an index."""
+    rng = random.Random(5)
+    core = "".join(rng.choice("abc") for _ in range(337))
+    contexts = []
+    for c in range(3):
+        for _ in range(12):
+            head, tail = "".join(rng.choice("ab") for _ in range(rng.randrange(6))), "".join(rng.choice("ab") for _ in range(rng.randrange(6)))
+            contexts.append((c, rng.random() < 0.3, ("h" * 30 + head).encode(), (tail + "t" * 33).encode()))
+    contexts = list({(c, h, t): (c, s, h, t) for c, s, h, t in contexts}.values())
+    assert core
+    whole = [h + b"\xff" + t for _, _, h, t in contexts]
+    windows = Counter((c[0], w[i : i + 40]) for c, w in zip(contexts, whole, strict=True) for i in range(len(w) - 39))
+    got = repeats.marked_windows(contexts, 40)
+    for c, w, runs in zip(contexts, whole, got, strict=True):
+        want = [] if c[1] else [i for i in range(len(w) - 39) if windows[c[0], w[i : i + 40]] > 1]
+        assert [i for a, b in runs for i in range(a, b + 1)] == want
+
+
+def test_run_length_index_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(150):
+        text = np.array([rng.randrange(1, rng.choice([2, 3, 20]) + 1) for _ in range(rng.randrange(1, 60))] + [50_000])
+        suffixes = [list(text[i:]) for i in range(len(text))]
+        assert suffix_array(text.astype(np.uint64)).tolist() == sorted(range(len(text)), key=suffixes.__getitem__)
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
+        index = RunLengthIndex.build(text)
+        assert index.lengths.sum() == len(text)
+        assert index.longest_elsewhere().tolist() == [max((common(suffixes[i], suffixes[j]) for j in range(len(text)) if j != i), default=0) for i in range(len(text))]
+    assert len(RunLengthIndex.build(np.array([7, 8, 9] * 400 + [60_000])).heads) < 12
+    assert RunLengthIndex.build(np.zeros(0)).longest_elsewhere().tolist() == []
+
+
 def test_short_windows(spark):
     rng = random.Random(9)
     rows = ["".join(rng.choice("ab") for _ in range(rng.randrange(200))) for _ in range(80)]
