@@ -42,6 +42,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all tables that :func:`written` has made in the shared folder: once nothing that reads them is needed."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "symsearch-*")) or []:
+        fs.delete(found.getPath(), True)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

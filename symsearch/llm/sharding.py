@@ -51,13 +51,11 @@ def slot_of(key: str | Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: str = "doc_id", *, shards: list[str] = SHARDS, slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
-    """``df`` with the slot and the shard's name of each row, in the columns named (which it must not have).
+    """``df`` with the slot and the shard's name of each row, in the columns named (in place of columns of these names).
 
     Rows with one key share a shard; rows with a null key go where an empty text
     goes.  Choose a key with many values: a hot key can only be in one shard.
     """
-    if clash := {slot_col, shard_col} & set(df.columns):
-        raise ValueError(f"{sorted(clash)} are columns already: name others")
     # a literal: Catalyst folds it to one array, which goes to the tasks with the code
     owners = F.split(F.lit(",".join(map(str, lookup_table(shards, slots)))), ",").cast("array<int>")
     names = F.array(*map(F.lit, shards))
@@ -68,8 +66,8 @@ def place(df: DataFrame, key: str = "doc_id", *, shards: list[str] = SHARDS, slo
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", *, shards: list[str] = SHARDS, slots: int = SLOTS, parts: int = 1) -> None:
     """Write ``df`` as Parquet in one folder for each shard, in about ``parts`` files each.
 
-    A salt from the key deals a shard's rows over ``parts`` tasks.
+    A column ``shard`` is replaced.  A salt from the key deals a shard's rows over ``parts`` tasks.
     """
-    placed = place(df, key, shards=shards, slots=slots, slot_col="__slot", shard_col="shard") if "shard" not in df.columns else place(df.withColumnRenamed("shard", "__shard"), key, shards=shards, slots=slots, slot_col="__slot", shard_col="shard")
+    placed = place(df, key, shards=shards, slots=slots, slot_col="__slot", shard_col="shard")
     salt = F.pmod(F.xxhash64(F.col(key)), F.lit(parts))
     placed.repartition(len(shards) * parts, "shard", salt).drop("__slot").write.partitionBy("shard").parquet(path)

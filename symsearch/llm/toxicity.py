@@ -27,6 +27,8 @@ from symsearch.llm.pairwise_quality import labelled_rows
 
 #: At most so many labelled rows train the chain; each model uses so many words of so many hash buckets.
 LABELLED, WORDS, BUCKETS, FOLDS = 12_000, 512, 1 << 20, 5
+#: A word is used if the share of positive documents among those that have it is so many standard deviations above chance.
+CHANCE = 4.0
 _EDGES = b".,;:!?()[]{}\"'`*_#$%&|<>"
 
 
@@ -73,12 +75,13 @@ class Chain:
         names, index = np.unique(flat, return_inverse=True)
         df = np.bincount(index, minlength=len(names))
         for c in range(len(categories)):
-            # words whose share of positive documents differs most from chance
+            # words whose share of positive documents is most above chance
             y = labels[:, c]
             rate = y.mean() if n else 0.0
             positive = np.bincount(index, weights=y[rows], minlength=len(names))
-            stray = np.abs(positive - df * rate) / np.sqrt(df * rate * (1 - rate) + 1.0)
-            chosen.update(names[np.argsort(-stray, kind="stable")[: WORDS // len(categories)]].tolist())
+            stray = (positive - df * rate) / np.sqrt(df * rate * (1 - rate) + 1.0)
+            best = np.argsort(-stray, kind="stable")[: WORDS // len(categories)]
+            chosen.update(names[best[stray[best] >= CHANCE]].tolist())
         chain = cls(categories, np.array(sorted(chosen), np.int64), form.mean(0) if n else np.zeros(form.shape[1]), form.std(0) + 1e-6 if n else np.ones(form.shape[1]))
         x = chain.inputs(buckets, form)
         for c in range(len(categories)):
@@ -113,13 +116,14 @@ def form_of(all_texts: list[bytes]) -> np.ndarray:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Midway in the gap at which out-of-fold predictions have the best F1; above all of them if there are no positives."""
+    """Midway in the gap at which out-of-fold predictions have the best F-measure; above all of them if there are no positives."""
     if not len(y) or not y.any():
         return 2.0
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(np.argmax(f1))
+    # precision counts twice as much as recall: clean documents are to be left alone
+    f = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    k = int(np.argmax(f))
     return float((p[order[k]] + (p[order[k + 1]] if k + 1 < len(p) else 0.0)) / 2)
 
 

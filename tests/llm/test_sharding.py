@@ -45,8 +45,17 @@ def test_placement(spark, tmp_path):
     assert all(r.shard == sharding.SHARDS[table[r.slot]] for r in got)
     assert len({r.shard for r in got if r.doc_id is None}) == 1
     assert sharding.place(empty(spark)).count() == 0
-    with pytest.raises(ValueError):
-        sharding.place(docs, shard_col="t")
+    again = sharding.place(docs, shard_col="t")
+    assert again.columns.count("t") == 1 and sorted(map(str, (r.t for r in again.collect()))) == sorted(r.shard for r in got)
     sharding.write_shards(docs, str(tmp_path / "out"), parts=2)
     again = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((str(r.doc_id), r.shard) for r in again.collect()) == sorted((str(r.doc_id), r.shard) for r in got)
+
+
+def test_tables_are_cleared(spark):
+    from symsearch.llm import common
+
+    df = common.written(spark.range(3).toDF("a"), "some")
+    assert df.count() == 3
+    common.clear_tables(spark)
+    assert not spark.sparkContext._jvm.java.io.File(df.inputFiles()[0].removeprefix("file://")).exists()
