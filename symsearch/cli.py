@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from symsearch import config as config_
 from symsearch import index as index_
-from symsearch.operators import graph, output, tools
+from symsearch.operators import fileset, graph, output, tools
 from symsearch.plans.lexer import QueryError
 
 
@@ -51,7 +51,7 @@ def arguments() -> argparse.ArgumentParser:
     c.add_argument("-r", "--reindex", action="store_true")
     c.add_argument("--delete", action="store_true", help="delete the index first")
     c.add_argument("--dry-run", action="store_true")
-    c.add_argument("-o", "--option", action="append", default=[], metavar="KEY=VALUE", help="demangle_names, index_relocations, min_symbol_size, use_dwarfdump")
+    c.add_argument("-o", "--option", action="append", default=[], metavar="KEY=VALUE", help="num_processes, demangle_names, index_relocations, min_symbol_size, use_dwarfdump")
     for name, text in (("search", "find symbols"), ("disass", "show the code of symbols"), ("find-definition", "show where symbols are defined")):
         c = command(name, text)
         c.add_argument("-n", "--num", type=positive, help="at most so many")
@@ -82,11 +82,12 @@ def index_path(args: argparse.Namespace, make: bool = False) -> str:
 
 def options_of(pairs: list[str], settings: config_.Indexing) -> index_.Options:
     out = index_.Options(settings.demangle_names, settings.index_relocations, settings.min_symbol_size, settings.use_dwarfdump)
+    known = ("num_processes", "demangle_names", "index_relocations", "min_symbol_size", "use_dwarfdump")
     for pair in pairs:
         key, eq, value = pair.partition("=")
         key = key.replace("-", "_")
-        if key not in settings.__dataclass_fields__ or key not in out.__dataclass_fields__:
-            raise ValueError(f"unknown option {key!r}, known: demangle_names, index_relocations, min_symbol_size, use_dwarfdump")
+        if key not in known:
+            raise ValueError(f"unknown option {key!r}, known: {', '.join(known)}")
         if isinstance(getattr(out, key), bool):
             yes = {"true": True, "1": True, "yes": True, "y": True, "": not eq, "false": False, "0": False, "no": False, "n": False}
             if value.lower() not in yes:
@@ -132,6 +133,10 @@ def run_search(index: index_.SymbolIndex, args: argparse.Namespace) -> int:
     lines = output.as_json(found) if args.format == "json" else output.as_sexp(found) if args.format == "sexp" else output.as_text(found, args.format)
     for r in lines.toLocalIterator():
         print(r[0])
+    stale = fileset.stale_counts(found).first()
+    for n, what in ((stale.symbol_files, "have changed since they were indexed"), (stale.binary_files, "are older than their sources")):
+        if n:
+            logging.warning("%d files of these symbols %s", n, what)
     return 0
 
 

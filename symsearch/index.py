@@ -62,6 +62,7 @@ class Options:
     min_symbol_size: int = 1
     use_dwarfdump: bool = True
     dwarfdump: str = "dwarfdump"
+    num_processes: int = 0  #: tasks that read files; 0: as many as Spark likes
 
 
 @dataclass
@@ -286,7 +287,8 @@ def index_directory(spark: SparkSession, directory: str, index_path: str, *, opt
         stats = Stats(changed=changed.count(), deleted=deleted.count(), exclusions=charged)
         if stats.changed or stats.deleted:
             sources = _sources(spark, directory, changed, options)
-            symbols, errors = read_symbols(spark, changed, demangle_names=options.demangle_names, with_relocations=options.index_relocations, min_symbol_size=options.min_symbol_size, sources=sources)
+            dealt = changed.repartition(options.num_processes) if options.num_processes else changed
+            symbols, errors = read_symbols(spark, dealt, demangle_names=options.demangle_names, with_relocations=options.index_relocations, min_symbol_size=options.min_symbol_size, sources=sources)
             stats.errors = [tuple(r) for r in errors.collect()]
             index.replace_files(symbols, changed, deleted)
             own = index.rows().join(changed.select("path"), "path", "left_semi")

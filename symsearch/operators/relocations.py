@@ -3,9 +3,9 @@
 In each section the symbol before an offset is the last of those with the
 highest address below it, and the symbol after it the first of those with the
 lowest address at or above it.  The owner is the first of both that covers the
-offset.  One pass over the union of symbols and offsets, ordered within each
-section, finds both: no pair of a symbol and an offset that don't belong together
-is ever made.
+offset.  Symbols are linked to the one after them in order; then one pass over the
+union of symbols and offsets, ordered within each section, finds both: no pair of
+a symbol and an offset that don't belong together is ever made.
 """
 
 from __future__ import annotations
@@ -20,16 +20,19 @@ def owners(symbols: DataFrame, relocations: DataFrame) -> DataFrame:
     ``symbols``: (file, section, address, size, ord, name); ``relocations``:
     (file, section, r_offset, target).  ord: a symbol's place in its file.
     """
-    s = symbols.select("file", "section", F.col("address").alias("at"), F.struct("address", "size", "ord", "name").alias("sym"), F.col("ord").alias("tie"), F.lit(None).cast("string").alias("target"))
+    sym = F.struct("address", "size", "ord", "name")
+    section = Window.partitionBy("file", "section")
+    # each symbol with the one after it: what follows the symbol before an offset is not below the offset
+    s = symbols.select("file", "section", "address", "size", "ord", "name", F.lead(sym).over(section.orderBy("address", "ord")).alias("next"))
+    s = s.select("file", "section", F.col("address").alias("at"), F.struct("address", "size", "ord", "name", "next").alias("sym"), F.col("ord").alias("tie"), F.lit(None).cast("string").alias("target"))
     r = relocations.select("file", "section", F.col("r_offset").alias("at"), F.lit(None).cast(s.schema["sym"].dataType).alias("sym"), F.lit(None).cast("long").alias("tie"), "target")
     rows = s.withColumn("is_symbol", F.lit(True)).union(r.withColumn("is_symbol", F.lit(False)))
-    section = Window.partitionBy("file", "section")
     # an offset stands before the symbols at its address: those are not below it
     order = section.orderBy("at", F.col("is_symbol").asc(), F.col("tie").asc())
     before = F.last("sym", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    backward = section.orderBy(F.col("at").desc(), F.col("is_symbol").desc(), F.col("tie").desc())
-    after = F.last("sym", ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, -1))
-    both = rows.withColumn("p", before).withColumn("q", after).where("not is_symbol")
+    foremost = F.first("sym", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    both = rows.withColumn("p", before).withColumn("foremost", foremost).where("not is_symbol")
+    both = both.withColumn("q", F.when(F.col("p").isNotNull(), F.col("p.next")).otherwise(F.struct(*(F.col(f"foremost.{c}").alias(c) for c in ("address", "size", "ord", "name"))))).withColumn("p", F.struct(*(F.col(f"p.{c}").alias(c) for c in ("address", "size", "ord", "name"))))
     covers = lambda c: (F.col(f"{c}.address") <= F.col("at")) & (F.col("at") < F.col(f"{c}.address") + F.col(f"{c}.size"))
     owner = F.when(covers("p"), F.col("p")).when(covers("q"), F.col("q"))
     found = both.withColumn("owner", owner).where("owner is not null")

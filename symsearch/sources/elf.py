@@ -121,11 +121,13 @@ _ROW = "path string, kind string, ord long, arch string, name string, section st
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path in batch["path"]:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
             rows = []
             try:
-                with open(path, "rb") as f:
-                    elf = Elf(f.read())
+                if content is None:
+                    with open(path, "rb") as f:
+                        content = f.read()
+                elf = Elf(bytes(content))
                 signed = lambda n: n - (1 << 64) if n >> 63 else n
                 for table in elf.tables():
                     rows += [(path, "symbol", len(rows) + i, elf.arch, n, s, signed(v), signed(z), t, None, None) for i, (n, s, v, z, t) in enumerate(elf.symbols(table))]
@@ -139,9 +141,17 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_entries(files: DataFrame) -> DataFrame:
     """Symbols, relocations and one row for each file (or its error) of a frame with a ``path`` column.
 
-    A file with an error has no other rows: it counts as not read.
+    A ``content`` column is decoded if there is one; else the tasks open the
+    paths.  A file with an error has no other rows: it counts as not read.
     """
-    return files.select("path").mapInPandas(_decode, _ROW)
+    content = F.col("content") if "content" in files.columns else F.lit(None).cast("binary")
+    return files.select("path", content.alias("content")).mapInPandas(_decode, _ROW)
+
+
+def stored_files(spark: SparkSession, folder: str, pattern: str = "*.{o,so}") -> DataFrame:
+    """(path, mtime, content) of the ELF files in and below a folder of any store that Spark reads; times are exact to the millisecond."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return found.where(has_magic("content")).select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime"), "content")
 
 
 @F.pandas_udf(T.StringType())

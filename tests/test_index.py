@@ -15,7 +15,7 @@ from symsearch.operators.relocations import owners, reference_lists
 from symsearch.plans.fields import ExactField, Schema, SchemaError
 from symsearch.plans.lexer import QueryError
 from symsearch.sources import compdb
-from symsearch.sources.elf import ElfError, Elf, is_elf
+from symsearch.sources.elf import Elf, ElfError, is_elf, read_symbols, stored_files
 from symsearch.sources.files import CombinedSource, GlobSource, StaticSource, exclude, exclusion_stats
 from symsearch.streaming import incremental
 from tests.symbols import COLUMNS, ROWS
@@ -82,6 +82,16 @@ def test_index_and_search(spark, tree, tmp_path):
     assert (hit["index"], hit.total, hit.outdated.symbol, hit.outdated.binary) == (0, 1, False, False)
 
 
+@needs_as
+def test_files_in_a_store(spark, tree):
+    (tree / "text.o").write_bytes(b"not one")
+    found = stored_files(spark, f"file://{tree}")
+    symbols, errors = read_symbols(spark, found, with_relocations=True)
+    assert errors.count() == 0
+    assert {r["name"]: r.relocations for r in symbols.collect()}["uses_foo"] == ["foo"]
+    assert {os.path.basename(r.path) for r in found.collect()} == {"toplev.s.o", "foo.s.o", "deep.s.o"}
+
+
 @needs_as
 def test_incremental(spark, tree, tmp_path):
     where = str(tmp_path / "i")
@@ -264,7 +274,7 @@ def test_tools():
 def test_command_line(spark, tree, tmp_path, capsys):
     where = str(tmp_path / "i")
     run = lambda name, *args: (main([name, "-d", str(tree), "--index-path", where, *args]), capsys.readouterr().out)
-    assert run("index", "-o", "index_relocations=true") == (0, "Changed files: 3\nDeleted files: 0\nIndexed files: 3\nIndexed symbols: 10\n")
+    assert run("index", "-o", "index_relocations=true", "-o", "num_processes=2") == (0, "Changed files: 3\nDeleted files: 0\nIndexed files: 3\nIndexed symbols: 10\n")
     code, out = run("search", "name:c_function")
     assert code == 0 and out == "foo.s.o: c_function\n"
     assert '"name":"c_function"' in run("search", "-f", "json", "name:c_function")[1]
