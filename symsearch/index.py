@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from symsearch.functions.terms import name_terms
 from symsearch.operators import completion, fileset, ranking, tools
+from symsearch.plans import postings
 from symsearch.plans.compiler import search
 from symsearch.plans.fields import NameField, ReferencesField, Schema, SchemaError, terms_column
 from symsearch.plans.lexer import QueryError
 from symsearch.plans.parser import Parser
+from symsearch.plans.postings import RID
 from symsearch.plans.symbols import DEFAULT_FIELDS, SCHEMA, SYMBOL
 from symsearch.sources import compdb
 from symsearch.sources.elf import is_elf, read_symbols, stat_files
@@ -147,7 +149,18 @@ class SymbolIndex:
         if self._pending is not None:
             return self._pending
         data = self._meta()["__data__"]
-        return self.with_terms(self.spark.createDataFrame([], SYMBOL)) if data is None else self.spark.read.parquet(os.path.join(self.path, data))
+        return self.with_terms(self.spark.createDataFrame([], SYMBOL)).withColumn(RID, F.lit(0).cast("long")) if data is None else self.spark.read.parquet(os.path.join(self.path, data, "rows"))
+
+    def build_postings(self) -> None:
+        """Write the postings of the version there is: searches for names use them until the next write."""
+        self._check(writing=True)
+        if data := self._meta()["__data__"]:
+            postings.postings(self.rows(), self.schema).write.mode("overwrite").parquet(os.path.join(self.path, data, "postings"))
+
+    def _postings(self) -> DataFrame | None:
+        data = None if self._pending is not None else self._meta()["__data__"]
+        where = os.path.join(self.path, data, "postings") if data else ""
+        return self.spark.read.parquet(where) if data and os.path.isfile(os.path.join(where, "_SUCCESS")) else None
 
     def symbols(self) -> DataFrame:
         return self.rows().select(*SYMBOL.fieldNames())
@@ -178,7 +191,7 @@ class SymbolIndex:
     def _write(self, rows: DataFrame) -> None:
         name = f"v-{uuid.uuid4().hex}"
         # sorted within files by path, so that row groups can be skipped
-        rows.sortWithinPartitions("path", "address").write.parquet(os.path.join(self.path, name))
+        rows.sortWithinPartitions("path", "address").withColumn(RID, F.monotonically_increasing_id()).write.parquet(os.path.join(self.path, name, "rows"))
         meta = self._meta()
         if meta["__data__"] != self._base:
             shutil.rmtree(os.path.join(self.path, name))
@@ -197,11 +210,11 @@ class SymbolIndex:
             self._pending = change(self._pending)
 
     def add_symbols(self, symbols: DataFrame) -> None:
-        self._changed(lambda rows: rows.unionByName(self.with_terms(symbols.select(*SYMBOL.fieldNames()))))
+        self._changed(lambda rows: rows.drop(RID).unionByName(self.with_terms(symbols.select(*SYMBOL.fieldNames()))))
 
     def replace_files(self, symbols: DataFrame, changed: DataFrame, deleted: DataFrame) -> None:
         """Rows of changed and deleted files go, ``symbols`` come, in one write."""
-        self._changed(lambda rows: fileset.upsert(rows, self.with_terms(symbols), changed, deleted))
+        self._changed(lambda rows: fileset.upsert(rows.drop(RID), self.with_terms(symbols), changed, deleted))
 
     def delete_files(self, files: DataFrame) -> None:
         self._changed(lambda rows: rows.join(files.select("path").distinct(), "path", "left_anti").select(*rows.columns))
@@ -224,7 +237,9 @@ class SymbolIndex:
         try:
             if ranked:
                 return ranking.ranked(self.rows(), query, self.parser(), first=first, limit=limit).select(*SYMBOL.fieldNames(), "score")
-            rows = search(self.rows(), query, self.parser()).select(*SYMBOL.fieldNames())
+            table = self._postings()
+            rows = search(self.rows(), query, self.parser()) if table is None else postings.search(self.parser().parse(query), self.rows(), table, self.schema)
+            rows = rows.select(*SYMBOL.fieldNames())
             if first or limit is not None:
                 rows = rows.orderBy("path", "address", "name").offset(first)
             return rows if limit is None else rows.limit(limit)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from symsearch.functions.terms import basename, name_terms, normalise_path, tokenize
 from symsearch.operators import completion, fileset, graph, output, ranking
 from symsearch.operators.relocations import owners, reference_lists
+from symsearch.plans import postings
 from symsearch.plans.compiler import search
 from symsearch.plans.fields import EnumField, ExactField, IntegerField, NameField, PathField, ReferencesField, Schema, TextField
 from symsearch.plans.parser import Parser
@@ -410,6 +411,13 @@ def routes_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("goal", (F.size("path") - 1).alias("hops"))
 
 
+@query(f"with {SYM_SQL} select id, name, size, type from sym where ({any_name('gre')} or {any_name('blu')}) and not {any_name('bolt')} and size >= 5")
+def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sym(spark, sf_dir)
+    asked = SYM_PARSER.parse("(gre OR blu) NOT bolt size:5..")
+    return postings.search(asked, rows, postings.postings(rows, SYM, "id"), SYM, "id").select("id", "name", "size", "type")
+
+
 @query()
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(sym(spark, sf_dir), "red OR gre", SYM_PARSER, limit=20).select("id", "name", "score")

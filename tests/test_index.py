@@ -148,6 +148,11 @@ def test_store(spark, tmp_path):
             other.delete_files(symbols.where("path like '%foo.c.o'"))
             index.add_symbols(symbols)
         assert index.symbols().count() == 10
+        plain = sorted(r["name"] for r in index.search("symbol").collect())
+        index.build_postings()
+        found = index.search("symbol")
+        assert sorted(r["name"] for r in found.collect()) == plain and "postings" in str(index._postings().inputFiles())
+        assert "term" in found._jdf.queryExecution().toString()
         index.set_metadata("a", "1")
         assert (index.get_metadata("a"), index.get_metadata("b"), index.metadata_keys()) == ("1", None, ["a"])
         with pytest.raises(ValueError):

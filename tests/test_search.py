@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from symsearch.functions import terms
 from symsearch.operators import completion, output, ranking
+from symsearch.plans import postings
 from symsearch.plans.ast import All, And, Leaf, Not, Nothing
 from symsearch.plans.compiler import predicate, search
 from symsearch.plans.fields import ExactField, IntegerField, NameField, PathField, Schema
@@ -172,6 +173,15 @@ def test_random_queries_against_plain_evaluator(spark):
             assert r[f"q{i}"] == plain(n, by_id[r.id]), (asked[i], by_id[r.id])
 
 
+def test_postings_say_the_same(spark, symbols):
+    rows = symbols.withColumn("__rid", F.monotonically_increasing_id()).cache()
+    p = parser()
+    table = postings.postings(rows, p.schema).cache()
+    for query in ("foo", "camel sym", "foo OR type:FUNC", "NOT foo", "!(foo OR demangled:cxx) type:FUNC", "relocations:foo NOT name:uses", "name:*", "*:*", "section: foo", "(a_ OR bar) size:4", "NOT name:foo NOT name:bar", "fullname:foo OR name:camel"):
+        want = sorted(r["name"] for r in search(rows, query, p).collect())
+        assert sorted(r["name"] for r in postings.search(p.parse(query), rows, table, p.schema).collect()) == want, query
+
+
 def test_pushdown(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     spark.createDataFrame(ROWS, COLUMNS).write.parquet(str(tmp_path / "s"))
