@@ -74,8 +74,8 @@ class PairwiseModel:
         return out
 
     def score(self, columns: list[Column]) -> Column:
-        """0 to 1, and AT_THRESHOLD at the threshold."""
-        shift = float(np.log(AT_THRESHOLD / (1 - AT_THRESHOLD)))
+        """0 to 1, and just AT_THRESHOLD at the threshold (a billionth more, so that rounding can't make it less)."""
+        shift = float(np.log((AT_THRESHOLD + 1e-9) / (1 - AT_THRESHOLD)))
         return 1 / (1 + F.exp(-((self.raw(columns) - F.lit(self.threshold)) / F.lit(self.spread) + F.lit(shift))))
 
 
@@ -121,4 +121,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     model = PairwiseModel.fit(x, np.array([int(r[0]) for r in rows]), pairs)
     score = model.score([F.col(m) for m in MEASURES])
     scored = facts.select(F.col("doc").alias(id_col), held_out("doc").alias("held_out"), score.alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= AT_THRESHOLD - 1e-12).cast("int"))
+    return scored.withColumn("predicted", (F.col("score") >= AT_THRESHOLD).cast("int"))
