@@ -52,12 +52,11 @@ def levels(graph: DataFrame, goals: DataFrame, *, most: int | None = None, progr
         hops += 1
         step = frontier.select("goal", F.col("node").alias("dst")).join(graph, "dst").groupBy("goal", F.col("src").alias("node")).agg(F.min("dst").alias("next"))
         frontier = checkpointed(step.join(met.select("goal", "node"), ["goal", "node"], "left_anti").select("goal", "node", "next", F.lit(hops).alias("hops")))
-        n = frontier.count()
         if progress:
-            progress.visited(n)
-        if not n:
+            progress.visited(frontier.count())
+        if frontier.isEmpty():
             break
-        met = checkpointed(met.union(frontier))
+        met = met.union(frontier)  # each part of it is written already
     return met
 
 
