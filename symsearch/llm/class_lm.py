@@ -203,14 +203,15 @@ def fit(docs: DataFrame, *, text_col: str = "text", classes: int = CLASSES, head
     words = count_words(docs, text_col)
     documents = docs.count()
     distinct, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # the least count from which on there are at most ``head`` words
-    least, many = 1, 0
-    for n, k in words.groupBy(F.least("n", F.lit(1 << 16)).alias("m")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("m")).collect():
+    # words by the size of their counts, in some ten thousand steps: the topmost steps that hold at most ``head`` words
+    step = F.floor(F.log("n") * 1000)
+    least, many = None, 0
+    for at, k in words.groupBy(step.alias("s")).agg(F.count(F.lit(1))).orderBy(F.desc("s")).collect():
         if (many := many + k) > head:
-            least = n + 1
             break
-    top = words.where(F.col("n") >= least).toArrow()  # at most ``head`` rows, if fewer words than that occur 65,536 times
-    order = sorted(zip(top["n"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))[:head]
+        least = at
+    top = words.where(step >= least if least is not None else F.lit(False)).toArrow()
+    order = sorted(zip(top["n"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     units = np.array([1 + i if i < WORD_UNITS else 1 + WORD_UNITS + ending(w) for i, (_, w) in enumerate(order)] + [0], np.int64)
     counts = np.array([n for n, _ in order] + [0], np.int64)
     known = Head({w: i for i, (_, w) in enumerate(order)}, units, counts)
