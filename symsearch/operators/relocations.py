@@ -22,17 +22,19 @@ def owners(symbols: DataFrame, relocations: DataFrame) -> DataFrame:
     """
     sym = F.struct("address", "size", "ord", "name")
     section = Window.partitionBy("file", "section")
-    # each symbol with the one after it: what follows the symbol before an offset is not below the offset
-    s = symbols.select("file", "section", "address", "size", "ord", "name", F.lead(sym).over(section.orderBy("address", "ord")).alias("next"))
-    s = s.select("file", "section", F.col("address").alias("at"), F.struct("address", "size", "ord", "name", "next").alias("sym"), F.col("ord").alias("tie"), F.lit(None).cast("string").alias("target"))
-    r = relocations.select("file", "section", F.col("r_offset").alias("at"), F.lit(None).cast(s.schema["sym"].dataType).alias("sym"), F.lit(None).cast("long").alias("tie"), "target")
+    by_address = section.orderBy("address", "ord")
+    # each symbol with the one after it: what follows the symbol before an offset is not below the offset;
+    # before the first one stands a mark that covers nothing
+    s = symbols.select("file", "section", sym.alias("p"), F.lead(sym).over(by_address).alias("q"), F.row_number().over(by_address).alias("nth"))
+    own = F.struct(F.col("p.address").alias("at"), F.col("p.ord").alias("tie"), F.struct("p", "q").alias("sym"))
+    mark = F.struct(F.lit(-(1 << 63)).alias("at"), F.lit(0).cast("long").alias("tie"), F.struct(F.lit(None).cast(s.schema["p"].dataType).alias("p"), F.col("p").alias("q")).alias("sym"))
+    s = s.select("file", "section", F.explode(F.when(F.col("nth") == 1, F.array(mark, own)).otherwise(F.array(own))).alias("x")).select("file", "section", "x.at", "x.tie", "x.sym", F.lit(None).cast("string").alias("target"))
+    r = relocations.select("file", "section", F.col("r_offset").alias("at"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast(s.schema["sym"].dataType).alias("sym"), "target")
     rows = s.withColumn("is_symbol", F.lit(True)).union(r.withColumn("is_symbol", F.lit(False)))
     # an offset stands before the symbols at its address: those are not below it
     order = section.orderBy("at", F.col("is_symbol").asc(), F.col("tie").asc())
     before = F.last("sym", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    foremost = F.first("sym", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    both = rows.withColumn("p", before).withColumn("foremost", foremost).where("not is_symbol")
-    both = both.withColumn("q", F.when(F.col("p").isNotNull(), F.col("p.next")).otherwise(F.struct(*(F.col(f"foremost.{c}").alias(c) for c in ("address", "size", "ord", "name"))))).withColumn("p", F.struct(*(F.col(f"p.{c}").alias(c) for c in ("address", "size", "ord", "name"))))
+    both = rows.withColumn("near", before).where("not is_symbol").select("file", "section", "at", "target", "near.p", "near.q")
     covers = lambda c: (F.col(f"{c}.address") <= F.col("at")) & (F.col("at") < F.col(f"{c}.address") + F.col(f"{c}.size"))
     owner = F.when(covers("p"), F.col("p")).when(covers("q"), F.col("q"))
     found = both.withColumn("owner", owner).where("owner is not null")
