@@ -157,10 +157,21 @@ def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).where("dst is not null").distinct()
 
 
-def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+# The same edges of all orders.
+ALL_EDGE_SQL = """step as (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as dst
+ from lineitem), edge as (select distinct src, dst from step where dst is not null)"""
+
+
+def all_edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return lines.where("dst is not null").distinct()
+
+
+def linked(spark: SparkSession, sf_dir: str, edges: Query = edges_of) -> DataFrame:
     """Symbols with the names that they refer to."""
     rows = sym(spark, sf_dir).select("id", "name", "demangled", "path", "section", "address", "size")
-    lists = edges_of(spark, sf_dir).join(rows.select(F.col("id").alias("dst"), F.col("name").alias("to")), "dst").groupBy("src").agg(F.array_sort(F.collect_set("to")).alias("relocations"))
+    lists = edges(spark, sf_dir).join(rows.select(F.col("id").alias("dst"), F.col("name").alias("to")), "dst").groupBy("src").agg(F.array_sort(F.collect_set("to")).alias("relocations"))
     return rows.join(lists.withColumnRenamed("src", "id"), "id", "left").withColumn("relocations", F.coalesce("relocations", F.array().cast("array<string>")))
 
 
@@ -177,6 +188,19 @@ def relocations_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(linked(spark, sf_dir), "relocations:*", Parser(Schema((ReferencesField("relocations", "XR"),)))).select("id")
 
 
+ALL_LINKED_SQL = f"{SYM_SQL}, {ALL_EDGE_SQL}, named as (select e.src, t.name as target from edge e join sym t on t.id = e.dst)"
+
+
+@query(f"with {ALL_LINKED_SQL} select distinct src as id from named where {has_term('target', 'red')}")
+def all_relocations_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(linked(spark, sf_dir, all_edges_of), "relocations:red", Parser(Schema((ReferencesField("relocations", "XR"),)))).select("id")
+
+
+@query(f"with {ALL_LINKED_SQL} select id from sym where id in (select src from named)")
+def all_relocations_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(linked(spark, sf_dir, all_edges_of), "relocations:*", Parser(Schema((ReferencesField("relocations", "XR"),)))).select("id")
+
+
 @query(f"with {SYM_SQL} select path from sym where id % 2 = 0 union select path from sym where id % 5 = 0")
 def combined_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sym(spark, sf_dir)
@@ -393,6 +417,12 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(rows, name).select("id", "name")
 
 
+@query(f"with {ALL_LINKED_SQL} select distinct n.src as id, s.name from named n join sym s on s.id = n.src where n.target = (select name from sym where id = 7)")
+def all_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = sym(spark, sf_dir).where("id = 7").first()["name"]
+    return graph.neighbours(linked(spark, sf_dir, all_edges_of), name).select("id", "name")
+
+
 GOALS, STARTS = "id in (5, 17)", "id % 20 = 1"
 BFS_SQL = f"""recursive {EDGE_SQL}, walk(goal, node, hops) as (select p_partkey, p_partkey, 0 from part where p_partkey in (5, 17)
  union select w.goal, e.src, w.hops + 1 from walk w join edge e on e.dst = w.node where w.hops < 6)"""
