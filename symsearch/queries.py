@@ -441,6 +441,21 @@ def routes_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("goal", (F.size("path") - 1).alias("hops"))
 
 
+@query()
+def all_bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the references of all orders, until no node is new: SQL's recursion would go round cycles for ever."""
+    goals = sym(spark, sf_dir).where(GOALS).select(F.col("id").alias("goal"))
+    return graph.levels(all_edges_of(spark, sf_dir), goals).select("goal", "node", "hops")
+
+
+@query()
+def all_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest route to every goal, of any length."""
+    ids = sym(spark, sf_dir).select("id")
+    found = graph.routes(all_edges_of(spark, sf_dir), ids.where(STARTS).select(F.col("id").alias("start")), ids.where(GOALS).select(F.col("id").alias("goal")), num_routes=None)
+    return found.select("goal", (F.size("path") - 1).alias("hops"))
+
+
 @query(f"with {SYM_SQL} select id, name, size, type from sym where ({any_name('gre')} or {any_name('blu')}) and not {any_name('bolt')} and size >= 5")
 def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sym(spark, sf_dir)

@@ -30,3 +30,23 @@ def test_references_of_all_orders(spark, small):
     assert ids("all_relocations_present") == {a for a, _ in edges()}
     assert ids("all_relocations_contains") == {a for a, b in edges() if b % 2}
     assert ids("all_neighbours") == {a for a, b in edges() if b == 7}
+
+
+def plain_hops(goal):
+    """Breadth first, backward from a goal."""
+    hops, frontier = {goal: 0}, {goal}
+    while frontier:
+        frontier = {a for a, b in edges() if b in frontier} - set(hops)
+        hops |= dict.fromkeys(frontier, 1 + max(hops.values()))
+    return hops
+
+
+def test_search_of_any_depth(spark, small):
+    want = {(g, node, n) for g in (5, 17) for node, n in plain_hops(g).items()}
+    assert max(n for _, _, n in want) > 6
+    assert {tuple(r) for r in queries.all_bfs_hops(spark, small).collect()} == want
+
+
+def test_routes_of_any_length(spark, small):
+    want = {(g, min(n for node, n in plain_hops(g).items() if n and node % 20 == 1)) for g in (5, 17)}
+    assert {tuple(r) for r in queries.all_routes(spark, small).collect()} == want == {(5, 10), (17, 1)}
