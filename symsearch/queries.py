@@ -342,6 +342,17 @@ def bounded_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(sym(spark, sf_dir), "size:40..", SYM_PARSER).limit(50).agg(F.count(F.lit(1)).alias("total"))
 
 
+@query(f"with {SYM_SQL} select id, row_number() over (order by path, address) - 1 as \"index\", count(*) over () as total from sym where size >= 40")
+def all_hit_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search(sym(spark, sf_dir), "size:40..", SYM_PARSER).select("id", "path", "address")
+    return ranking.with_ordinals(rows, "path", "address").select("id", "index", "total")
+
+
+@query(f"with {SYM_SQL} select count(*) as total from sym where size >= 40")
+def all_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(sym(spark, sf_dir), "size:40..", SYM_PARSER).agg(F.count(F.lit(1)).alias("total"))
+
+
 STAT_SQL = f"""{SYM_SQL}, st as (select path, max(mtime) as mtime from sym where id % 7 <> 0 group by path union all
  select source, max(mtime) + 5 from sym where source is not null and id % 4 = 0 group by source),
  flag as (select s.id, s.path, coalesce(a.mtime, 0) <> s.mtime as symbol_outdated,
