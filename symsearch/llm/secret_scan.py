@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
-A pattern finds candidates: long runs of token characters with a digit, words in
-the position of a secret's value.  What speaks for a secret is then measured
+A pattern finds candidates: long runs of token characters with a digit, values
+that are assigned to secret names, and formats (dotted tokens as a whole, paths
+of URLs, passwords in URLs).  What speaks for a secret is then measured
 with SQL functions: the candidate's length, how often its characters change
 class, how much of it dictionary words cover, whether it stands in a path, and
 the neighbouring words.  A random forest trained on labelled findings judges the
@@ -15,13 +16,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The form of candidates.
-#: A run of 12 or more token characters with a digit, and padding, where no such character, dot or @ is before.
-CANDIDATE = r"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}"
+#: A name whose value is a secret, up to its value.
+NAMED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key|auth|credentials?)[\x22\x27]?\s{0,3}(?:=>|:=|[=:])\s{0,3}"
+#: What such a name is given: 8 or more characters of any kind, up to the other quote, or up to a blank or the next parameter.
+VALUE = rf"(?:(?<=[\x22\x27])(?<={NAMED}[\x22\x27])[^\s\x22\x27]{{8,}}|(?<=[=:>\s])(?<={NAMED}|(?i:bearer)\s{{1,3}})(?=[^\s\x22\x27,;<>]{{8}})[^\s\x22\x27,;<>&]*(?:&(?!\w{{1,30}}=)[^\s\x22\x27,;<>&]*){{0,8}}(?<![.:?)\]}}&]))"
+#: The password of a URL, and a path after its host, with a digit.
+IN_URL = r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@]{4,}(?=@)|(?<=[^/:]/)(?<=://[^\s/\x22\x27<>]{1,100}/)(?=[A-Za-z_+/.~%-]*+[0-9])[A-Za-z0-9_+/.~%-]{12,}(?<![.])"
+#: Parts of token characters with dots between.
+DOTTED = r"(?<![A-Za-z0-9_+/.@-])(?:eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*){0,3}(?<![.])|(?:SG|ya29)\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})?|(?=[A-Za-z_.-]*+[0-9])[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{6,}){1,3})"
+#: A run of 12 or more token characters with a digit, and padding, where no such character, dot or @ is before; not a secret's name.
+RUN = rf"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/-]*+[0-9])(?![A-Za-z0-9_+/-]*{NAMED})[A-Za-z0-9_+/-]{{12,}}+={{0,2}}"
+CANDIDATE = f"{VALUE}|{IN_URL}|{DOTTED}|{RUN}"
 #: How much text before and after a candidate is looked at.
 BEFORE, AFTER = 48, 24
 
 # Words and prefixes that the measures look for.
-PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|ya29|SG_|eyJ|npm_|pypi-)"
+PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|ya29|SG_|eyJ|npm_|pypi-|SG\.)"
 DICTIONARY = r"(?i)(?:example|sample|dummy|placeholder|change|replace|insert|your|here|fake|test|demo|none|null|undefined|password|secret|token|access|public|private|version|release|build|index|image|file|page|user|name|date|time|data|info|item|list|test|main|prod|stage|north|south|east|west|alpha|beta|gamma|delta|abcdef|qwerty|xxxx+|0000+|1234+)"
 SECRET_WORDS = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|credential|bearer|private[_ -]?key|client[_ -]?secret)"
 OTHER_WORDS = r"(?i)(?:example|sample|dummy|placeholder|uuid|guid|sha-?\d*|md5|checksum|commit|revision|hash|digest|image|version|isbn|phone|tel|order|invoice|file|figure|id)\b"
@@ -45,6 +55,15 @@ MEASURES = {
     "secret_words": f"if(b rlike '{SECRET_WORDS}', 1.0, 0.0)",
     "other_words": f"if(b rlike '{OTHER_WORDS}' or a rlike '{OTHER_WORDS}', 1.0, 0.0)",
     "in_path": rf"if(b rlike '{PATH_BEFORE}' or c rlike '^/|[a-z]/[a-z]', 1.0, 0.0)",
+    "named": rf"if(b rlike '(?:{NAMED}[\x22\x27]?|(?i:bearer)\s+)$', 1.0, 0.0)",
+    "other_signs": "regexp_count(c, '[^A-Za-z0-9_+/.=-]') / length(c)",
+    "dots": "regexp_count(c, '[.]')",
+    "letters": "if(c rlike '^[A-Za-z]?[a-z]+$', length(c), 0)",
+    "longest": "array_max(transform(split(c, '[^A-Za-z0-9]+'), s -> length(s)))",
+    "random": r"if(c rlike '(?<![A-Za-z0-9])(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9]{16,}', 1.0, 0.0)",
+    "code": r"if(c rlike '^[$%{<]|[(\[{]|^[a-zA-Z_]+([.][a-zA-Z_]+)+$|^[*x]+$', 1.0, 0.0)",
+    "url_password": r"if(a rlike '^@' and b rlike '://[^\s/:@]*:$', 1.0, 0.0)",
+    "hook": r"if(b rlike '(?i)hook[^\s]*$' or c rlike '(?i)hook|^services/T[0-9A-Z]', 1.0, 0.0)",
     "test_path": f"if(p rlike '{TEST_PATH}', 1.0, 0.0)",
 }
 MEASURES = {k: v.replace("\\", "\\\\") for k, v in MEASURES.items()}
@@ -56,8 +75,8 @@ LABELLED, TREES, DEPTH, THRESHOLD = 3000, 15, 6, 0.5
 def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = 1) -> DataFrame:
     """(c, b, a, p, label): n labelled candidates with their surroundings, made from hashes of their numbers.
 
-    Credentials of public formats, and random values assigned to secret names,
-    are 1.  Digests, identifiers, numbers, file names, addresses and
+    Credentials of public formats, random values, passwords and pass phrases
+    assigned to secret names, passwords in URLs and the paths of webhooks are 1.  Digests, identifiers, numbers, file names, addresses and
     placeholders are 0; so are random values that nothing marks as secret.
     """
     h = f"sha2(concat('{seed}/', id), 256)"
@@ -88,9 +107,31 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = 1) ->
         (some(h, "l", 20, 40), f"concat({prose}, {pick('b', ' https://host.example/', ' www.host.example/x/', ' /var/cache/')})", 0),
         (f"concat(lower(regexp_replace({some(mixed, 'l', 12, 20)}, '[0-9]', 'e')), cast(pmod(id, 97) as string))", f"concat({prose}, ' ')", 0),
     ]
+    other = f"regexp_replace(base64(unhex(sha2(concat({h}, 'x'), 256))), '[+/=]', '')"
+    word = f"lower(regexp_replace({mixed}, '[0-9]', 'e'))"
+    host = pick("h", " https://hooks.host.example/", " https://chat.example/", " http://www.host.example/")
+    kinds += [
+        (f"concat({some(mixed, 'l', 4, 10)}, {pick('c', '&', '!', '#', '@', '$', '%', '*')}, {some(other, 'r', 3, 12)})", f"concat({prose}, ' ', {name}, {sign})", 1),
+        (f"concat({some(mixed, 'l', 4, 10)}, {pick('nn', '&', '!', '#', '@', '$', '_')}, {pick('oo', 'secret', 'main', 'password', 'alpha', 'time', 'north')}, {pick('pp', '#', '!', '', '%')}, cast(pmod(xxhash64(id, 6), 1000) as string))", f"concat({prose}, ' ', {name}, {sign})", 1),
+        (some(mixed, "l", 8, 14), f"concat({prose}, ' ', {name}, {sign})", 1),
+        (f"concat({some(word, 'l', 5, 9)}, cast(10 + pmod(xxhash64(id, 4), 9000) as string))", f"concat({prose}, ' ', {name}, {sign})", 1),
+        (some(word, "l", 16, 32), f"concat({prose}, ' ', {name}, {sign})", 1),
+        (f"regexp_replace({some(mixed, 'l', 20, 40)}, '[0-9]', 'Q')", f"concat({prose}, ' ', {name}, {sign})", 1),
+        (f"concat('eyJ', {some(mixed, 'l', 12, 30)}, '.eyJ', {some(other, 'r', 12, 40)}, '.', {some(mixed, 't', 20, 43)})", f"concat({prose}, {pick('aa', ' ', ' Authorization: Bearer ', ' token=')})", 1),
+        (f"concat({pick('bb', 'SG.', 'ya29.')}, {some(mixed, 'l', 20, 30)}, '.', {some(other, 'r', 20, 43)})", f"concat({prose}, ' ')", 1),
+        (f"concat('ya29.', {some(mixed, 'l', 20, 43)})", f"concat({prose}, ' ')", 1),
+        (f"concat({pick('cc', 'services/T0', 'api/webhooks/1', 'hooks/B0')}, substr({caps}, 1, 8), '/B0', substr({caps}, 9, 8), '/', {some(mixed, 'l', 20, 40)})", f"concat({prose}, {host})", 1),
+        (some(mixed, "l", 6, 24), f"concat({prose}, {pick('dd', ' postgres://admin:', ' https://bob:', ' redis://:', ' amqp://svc:')})", 1, "'@db.host.example/x'"),
+        (pick("ee", "password", "changeme", "your_password", "example123", "<password>", "${PASSWORD}"), f"concat({prose}, {pick('ff', ' postgres://user:', ' https://user:')})", 0, "'@db.host.example/x'"),
+        (pick("gg", "required", "optional", "undefined", "whatever", "something", "authentication", "rotation", "forgotten", "incorrect", "necessary", "disabled", "deprecated"), f"concat({prose}, ' ', {name}, {sign})", 0),
+        (pick("hh", "process.env.DB_PASSWORD", "os.environ.get(KEY)", "config.get(name)", "${DB_PASSWORD}", "{{password}}", "settings.SECRET_KEY", "getpass.getpass()", "********", "xxxxxxxx", "<your-token>"), f"concat({prose}, ' ', {name}, {sign})", 0),
+        (f"concat({pick('ii', 'blog', 'articles', 'news', 'docs')}, '/20', cast(10 + pmod(id, 14) as string), '/', {pick('jj', 'how-to-bake-bread', 'release-notes-and-changes', 'some-title-here', 'index')}, {pick('kk', '', '.html', '/page/2', '-12345')})", f"concat({prose}, {host})", 0),
+        (f"concat({pick('ll', 'production_backup', 'quarterly-report-final', 'node-exporter-service')}, '_', cast(pmod(xxhash64(id, 5), 100000) as string), {pick('mm', '.backup', '.document', '.example.internal', '.archive.tar-gz')})", f"concat({prose}, ' ')", 0),
+    ]
+    after = "case pmod(id, {}) {} else {} end".format(len(kinds), " ".join(f"when {k} then {x[3]}" for k, x in enumerate(kinds) if len(x) > 3), quote)
     choose = lambda i: "case pmod(id, {}) {} end".format(len(kinds), " ".join(f"when {k} then {x[i]}" for k, x in enumerate(kinds)))
     path = pick("p", "src/app.py", "config/prod.env", "notes.txt", "web", "host", "deploy.yaml")
-    return spark.range(n).selectExpr(f"{choose(0)} as c", f"{choose(1)} as b", f"{quote} as a", f"{path} as p", f"{choose(2)} as label")
+    return spark.range(n).selectExpr(f"{choose(0)} as c", f"{choose(1)} as b", f"{after} as a", f"{path} as p", f"{choose(2)} as label")
 
 
 def _tree(node, names: list[str]) -> str:
