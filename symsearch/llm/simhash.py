@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left, right = classes.select(F.col("f").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("f").alias("b"), F.col("rep").alias("rb"))
     edges = pairs.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     # an id with several texts ties their fingerprints together
-    own = prints.where("doc is not null").join(classes, "f").where("doc <> rep").groupBy("doc").agg(F.min("rep").alias("m"), F.max("rep").alias("n")).where("m <> n").select(F.col("m").alias("a"), F.col("n").alias("b"))
+    several = written(prints.where("doc is not null").groupBy("doc").agg(F.min("f").alias("m"), F.max("f").alias("n")).where("m <> n").select("doc"), "several")
+    own = prints.join(several, "doc", "left_semi").join(classes, "f").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
     found = components(edges.union(own))
     of_class = classes.join(found, classes["rep"] == found["id"], "left").select("f", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of_class, "f", "left").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
