@@ -207,6 +207,12 @@ def combined_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("id % 2 = 0").select("path").union(rows.where("id % 5 = 0").select("path")).distinct()
 
 
+@query(f"with {SYM_SQL} select path from sym union select source from sym where source is not null")
+def all_combined_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sym(spark, sf_dir)
+    return rows.select("path").union(rows.where("source is not null").select(F.col("source").alias("path"))).distinct()
+
+
 # File states from events: a file is a user and a kind of event; the last state before a cut is the index, all states are now.
 STATE_SQL = """mid as (select (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 as cut from events),
  state as (select '/f/' || event_type || '/' || user_id as path, epoch_us(ts) as us from events),

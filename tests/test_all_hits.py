@@ -1,4 +1,4 @@
-"""Ordinals and totals beyond the first 50 hits."""
+"""Queries over all rows: ordinals and totals beyond the first 50 hits, and whole sources."""
 
 from symsearch import queries
 from tests.oracle import same
@@ -10,3 +10,9 @@ def test_all_hits_are_numbered(spark):
     rows = queries.QUERIES["all_hit_ordinals"](spark, sf_dir).collect()
     assert len(rows) > 50 and {r.total for r in rows} == {len(rows)} and {r["index"] for r in rows} == set(range(len(rows)))
     assert [r.total for r in queries.QUERIES["all_count"](spark, sf_dir).collect()] == [len(rows)]
+
+
+def test_whole_sources_are_combined(spark, sf_dir):
+    rows = queries.sym(spark, sf_dir).select("path", "source").collect()
+    got = [r.path for r in queries.QUERIES["all_combined_sources"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted({r.path for r in rows} | {r.source for r in rows if r.source})
