@@ -33,7 +33,6 @@ from symsearch.llm.common import LOWER, as_type, chunks, texts, written
 
 #: Production parameters: words sent to the tasks, words that are units of their own, units of word endings, classes.
 HEAD, WORD_UNITS, ENDINGS, CLASSES = 200_000, 1024, 255, 64
-ROUNDS = 12
 #: A task hands on its counts when it has so many words.
 FLUSH = 400_000
 DELTA = 0.5
@@ -132,11 +131,12 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int | None = None) -> np.ndarray:
     """A class for each unit; the end token alone has class 0.
 
     Starts from ranks by frequency, dealt in turn, and moves each unit to the
-    class with the highest likelihood until a round moves none.
+    class with the highest likelihood until a round moves none (or for
+    ``rounds``).  Each move raises the likelihood, so it ends.
     """
     size = len(pairs)
     b = pairs.astype(float)
@@ -150,8 +150,10 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     onehot = np.eye(classes)[of]
     m = onehot.T @ b @ onehot
     left_of, right_of = onehot.T @ b, b @ onehot  # of each unit: what its classes of neighbours before and after it count
-    for _ in range(rounds if classes > 2 else 0):
-        moved = 0
+    least = 1e-9 + 1e-13 * float(_xlogx(b.sum()))  # what rounding can't feign
+    moved, done = classes > 2, 0
+    while moved and (rounds is None or done < rounds):
+        moved, done = 0, done + 1
         for u in order:
             old, self_ = of[u], b[u, u]
             before, after = left_of[:, u].copy(), right_of[u].copy()
@@ -160,7 +162,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             m[old] -= after
             m[:, old] -= before
             m[old, old] -= self_
-            rows, columns = m.sum(1), m.sum(0)
+            rows, columns = m.sum(1) + before, m.sum(0) + after  # with the unit's neighbours, wherever it goes
             fm = _xlogx(m)
             diagonal = np.diag(m)
             gain = (_xlogx(m + after) - fm).sum(1) + (_xlogx(m + before[:, None]) - fm).sum(0)
@@ -168,7 +170,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             gain -= _xlogx(rows + after.sum() + self_) - _xlogx(rows) + _xlogx(columns + before.sum() + self_) - _xlogx(columns)
             gain[0] = -np.inf
             new = int(np.argmax(gain))
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least:
                 new = old
             m[new] += after
             m[:, new] += before
@@ -180,8 +182,6 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
                 left_of[new] += b[u]
                 right_of[:, old] -= b[:, u]
                 right_of[:, new] += b[:, u]
-        if not moved:
-            break
     return of
 
 
