@@ -48,7 +48,8 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Also, which documents have a passage of 50 words or more that another one has too: it may be shorter than 400 bytes."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_passage")
 
 
 def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
