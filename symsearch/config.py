@@ -50,6 +50,11 @@ def _set(target: object, data: dict, where: str) -> None:
         setattr(target, name, list(value) if kind is list else value)
 
 
+def _merged(shared: dict, own: dict) -> dict:
+    """``own`` over ``shared``, table by table."""
+    return {**shared, **{k: _merged(shared.get(k, {}), v) if isinstance(v, dict) else v for k, v in own.items()}}
+
+
 @dataclass
 class Config:
     indexing: Indexing = field(default_factory=Indexing)
@@ -70,11 +75,10 @@ class Config:
                     if machine != "default":
                         _set(tools := Tools(**asdict(default)), own, f"{where}: {key}.{machine}")
                         out.tools[machine] = tools
-            elif key in ("directory", "directories"):
-                shared = {k: v for k, v in data.items() if k != key}
+            elif key in ("path", "directory"):
+                shared = {k: v for k, v in data.items() if k not in ("path", "directory")}
                 for path, own in value.items():
-                    merged = {**shared, **{k: {**shared.get(k, {}), **v} if isinstance(v, dict) else v for k, v in own.items()}}
-                    out.directories[os.path.realpath(os.path.expanduser(path))] = cls.of(merged, f"{where}: {path}")
+                    out.directories[os.path.realpath(os.path.expanduser(path))] = cls.of(_merged(shared, own), f"{where}: {path}")
             else:
                 log.warning("unknown key %r in %s", key, where)
         return out

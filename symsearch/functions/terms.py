@@ -75,6 +75,17 @@ def basename(path: Column | str) -> Column:
     return F.element_at(F.split(_col(path), "/"), -1)
 
 
+def unsigned(c: Column | str) -> Column:
+    """An unsigned 64-bit number that a long holds."""
+    c = _col(c)
+    return F.when(c < 0, c.cast("decimal(20,0)") + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(c.cast("decimal(20,0)")).cast("decimal(20,0)")
+
+
+def unsigned_order(c: Column | str) -> Column:
+    """A long that is ordered as the unsigned number is that ``c`` holds."""
+    return _col(c).bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def end_address(address: Column | str = "address", size: Column | str = "size") -> Column:
     return _col(address) + _col(size)
 
@@ -84,6 +95,12 @@ def truncated(term: Column | str, prefix: str = "") -> Column:
     return F.substring(F.encode(_col(term), "UTF-8"), 1, MAX_TERM_BYTES - len(prefix.encode()))
 
 
+def hashed(term: Column | str, prefix: str = "") -> Column:
+    """What stands for a term that doesn't fit behind the prefix: its SHA-1 as hexadecimal digits; null if it fits."""
+    whole = F.encode(_col(term), "UTF-8")
+    return F.when(F.octet_length(whole) > MAX_TERM_BYTES - len(prefix.encode()), F.sha1(whole))
+
+
 def parse_integer(text: str) -> int:
     """A decimal, or a hexadecimal with 0x; anything else is a ValueError."""
     if not re.fullmatch(r"0[xX][0-9a-fA-F]+|[0-9]+", text):

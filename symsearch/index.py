@@ -6,6 +6,7 @@ readers always see a whole version and a failed write changes nothing.
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import shutil
@@ -16,11 +17,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symsearch.functions.terms import name_terms
+from symsearch.functions.terms import basename, name_terms, normalise_path, unsigned_order
 from symsearch.operators import completion, fileset, ranking, tools
 from symsearch.plans import postings
 from symsearch.plans.compiler import search
-from symsearch.plans.fields import NameField, ReferencesField, Schema, SchemaError, terms_column
+from symsearch.plans.fields import NameField, PathField, ReferencesField, Schema, SchemaError, path_columns, terms_column
 from symsearch.plans.lexer import QueryError
 from symsearch.plans.parser import Parser
 from symsearch.plans.postings import RID
@@ -116,6 +117,13 @@ class SymbolIndex:
             json.dump(meta, f)
         os.replace(new, os.path.join(self.path, META))
 
+    @contextmanager
+    def _locked(self):
+        """No other writer can look at the pointer and then move it meanwhile; a writer that dies lets go."""
+        with open(os.path.join(self.path, "_lock"), "w") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            yield
+
     def _check(self, writing: bool = False) -> None:
         if not self._open:
             raise ClosedError("the index is closed")
@@ -136,8 +144,9 @@ class SymbolIndex:
         self._check(writing=True)
         if not key:
             raise ValueError("empty key")
-        meta = self._meta()
-        self._put({**meta, "kv": {**meta.get("kv", {}), key: value}})
+        with self._locked():
+            meta = self._meta()
+            self._put({**meta, "kv": {**meta.get("kv", {}), key: value}})
 
     @property
     def binary_dir(self) -> str | None:
@@ -171,6 +180,9 @@ class SymbolIndex:
                 rows = rows.withColumn(terms_column(f.name), F.array_distinct(F.flatten(F.transform(f.columns[0], name_terms))))
             elif isinstance(f, NameField):
                 rows = rows.withColumn(terms_column(f.name), name_terms(f.columns[0]))
+            elif isinstance(f, PathField):
+                plain, base = path_columns(f.columns[0])
+                rows = rows.withColumn(plain, normalise_path(f.columns[0])).withColumn(base, basename(plain))
         return rows
 
     @contextmanager
@@ -192,11 +204,12 @@ class SymbolIndex:
         name = f"v-{uuid.uuid4().hex}"
         # sorted within files by path, so that row groups can be skipped
         rows.sortWithinPartitions("path", "address").withColumn(RID, F.monotonically_increasing_id()).write.parquet(os.path.join(self.path, name, "rows"))
-        meta = self._meta()
-        if meta["__data__"] != self._base:
-            shutil.rmtree(os.path.join(self.path, name))
-            raise ModifiedError("another writer has changed the index")
-        self._put({**meta, "__data__": name, "__before__": self._base})
+        with self._locked():
+            meta = self._meta()
+            if meta["__data__"] != self._base:
+                shutil.rmtree(os.path.join(self.path, name))
+                raise ModifiedError("another writer has changed the index")
+            self._put({**meta, "__data__": name, "__before__": self._base})
         # the version before stays for those who are reading it
         if oldest := meta.get("__before__"):
             shutil.rmtree(os.path.join(self.path, oldest), ignore_errors=True)
@@ -241,7 +254,7 @@ class SymbolIndex:
             rows = search(self.rows(), query, self.parser()) if table is None else postings.search(self.parser().parse(query), self.rows(), table, self.schema)
             rows = rows.select(*SYMBOL.fieldNames())
             if first or limit is not None:
-                rows = rows.orderBy("path", "address", "name").offset(first)
+                rows = rows.orderBy("path", unsigned_order("address"), "name").offset(first)
             return rows if limit is None else rows.limit(limit)
         except QueryError as e:
             raise self._hinted(query, e) from e
@@ -261,7 +274,7 @@ class SymbolIndex:
 def hits(index: SymbolIndex, query: str, limit: int | None = None) -> DataFrame:
     """Ranked hits with ``outdated``, ``index`` and ``total``."""
     rows = index.search(query, limit=limit, ranked=True)
-    numbered = ranking.with_ordinals(rows, F.desc("score"), "path", "address", "name").drop("score")
+    numbered = ranking.with_ordinals(rows, F.desc("score"), "path", unsigned_order("address"), "name").drop("score")
     named = [r.p for r in numbered.select(F.explode(F.array("path", "source")).alias("p")).where("p is not null").distinct().toLocalIterator()]
     return fileset.with_staleness(numbered, stat_files(index.spark, named)).orderBy("index")
 
@@ -273,15 +286,13 @@ def _sources(spark: SparkSession, directory: str, changed: DataFrame, options: O
     if not (options.use_dwarfdump and shutil.which(options.dwarfdump)):
         return known
     told = tools.dwarf_sources(changed, options.dwarfdump).withColumnRenamed("path", "binary")
-    if known is None:
-        return told
-    return known.unionByName(told.join(known.select("binary"), "binary", "left_anti"))
+    return told if known is None else compdb.resolved(known, told)
 
 
 def index_directory(spark: SparkSession, directory: str, index_path: str, *, options: Options | None = None, files: list[str] | None = None, extra_globs: tuple[str, ...] = (), use_compilation_database: bool = False, reindex: bool = False, exclusions: tuple[str, ...] = (), dry_run: bool = False) -> Stats | DataFrame:
     """Bring an index up to date with a directory; ``dry_run``: the plan (action, path) instead."""
     options, directory = options or Options(), os.path.realpath(directory)
-    source: FileSource = StaticSource(files) if files is not None else CompilationDatabaseSource() if use_compilation_database else GlobSource()
+    source: FileSource = CompilationDatabaseSource() if use_compilation_database else StaticSource(files) if files is not None else GlobSource()
     if extra_globs:
         source = CombinedSource([source, GlobSource(tuple(extra_globs))])
     with SymbolIndex.open(spark, index_path) as index:

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir``; in local tests, where it is unset, to one of its own."""
+    """``df`` written as a table to the folder of ``spark.checkpoint.dir``, and read again: it is computed once.
+
+    In local tests, where that is unset, a folder of its own is made.
+    """
     sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
         if not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="symsearch-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(folder := tempfile.mkdtemp(prefix="symsearch-"))
+    path = f"{folder.rstrip('/')}/symsearch-{sc.applicationId}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -38,6 +38,12 @@ def distinct_files(rows: DataFrame) -> DataFrame:
     return rows.select("path").distinct()
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """(files, symbols): how many files have symbols, and how many symbols there are; the row of a file without any isn't one."""
+    named = rows.where(F.col("name") != "")
+    return named.agg(F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("symbols"))
+
+
 def plan(changed: DataFrame, deleted: DataFrame, known: DataFrame) -> DataFrame:
     """(action, path) of what an index run would do."""
     outdated = changed.join(known.select("path").distinct(), "path", "left_semi")

@@ -38,12 +38,14 @@ class Progress:
     done: Callable[[int, int], object] = lambda done, total: None
 
 
-def levels(graph: DataFrame, goals: DataFrame, *, most: int | None = None, progress: Progress | None = None) -> DataFrame:
+def levels(graph: DataFrame, goals: DataFrame, *, starts: DataFrame | None = None, most: int | None = None, progress: Progress | None = None) -> DataFrame:
     """(goal, node, next, hops): for each goal each node that leads to it, the next node on a shortest way, and the number of edges.
 
     ``graph``: (src, dst); ``goals``: (goal).  Among equal ways the smallest next
     node counts.  A goal leads to itself only by a cycle, which is not followed.
+    ``starts`` (start): a goal is done with the round that reaches any of them.
     """
+    ends = None if starts is None else checkpointed(starts.select(F.col("start").alias("node")).distinct())
     graph = checkpointed(graph.distinct())
     frontier = checkpointed(goals.select("goal", F.col("goal").alias("node"), F.lit(None).cast(goals.schema["goal"].dataType).alias("next"), F.lit(0).alias("hops")).distinct())
     met = frontier
@@ -57,6 +59,8 @@ def levels(graph: DataFrame, goals: DataFrame, *, most: int | None = None, progr
         if frontier.isEmpty():
             break
         met = met.union(frontier)  # each part of it is written already
+        if ends is not None:
+            frontier = frontier.join(frontier.join(ends, "node", "left_semi").select("goal").distinct(), "goal", "left_anti")
     return met
 
 
@@ -66,7 +70,7 @@ def routes(graph: DataFrame, starts: DataFrame, goals: DataFrame, *, num_routes:
     A path has an edge at least, unless ``zero_hops`` takes a goal that is a
     start for a path of itself.
     """
-    all_levels = levels(graph, goals, most=most, progress=progress)
+    all_levels = levels(graph, goals, starts=starts, most=most, progress=progress)
     if not zero_hops:
         # a way back to the goal itself: over the goal's successors
         around = graph.where("src = dst").select(F.col("src").alias("goal"), F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(1).alias("hops"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import string
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symsearch.functions.terms import basename, end_address
+from symsearch.functions.terms import basename, end_address, unsigned
 
 #: The order of a hit's keys.
 KEYS = ("outdated", "index", "total", "arch", "path", "source", "name", "demangled", "section", "address", "size", "type", "relocations", "mtime")
@@ -20,8 +21,14 @@ def with_dynamic_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumn("basename", basename("path")).withColumn("endaddress", end_address())
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """Addresses as unsigned numbers."""
+    return rows.withColumns({c: unsigned(c) for c in ("address", "endaddress") if c in rows.columns})
+
+
 def as_json(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``json``: one line a row; nulls are written."""
+    rows = _shown(rows)
     return rows.select(F.to_json(F.struct(*(k for k in keys if k in rows.columns)), {"ignoreNullFields": "false"}).alias("json"))
 
 
@@ -43,6 +50,7 @@ def sexp(c: Column, kind: T.DataType) -> Column:
 
 
 def as_sexp(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    rows = _shown(rows)
     chosen = T.StructType([rows.schema[k] for k in keys if k in rows.columns])
     return rows.select(sexp(F.struct(*chosen.fieldNames()), chosen).alias("sexp"))
 
@@ -53,16 +61,18 @@ _SPEC = re.compile(r"(?:(?P<fill>[^{}])?(?P<align>[<>]))?(?P<zero>0)?(?P<width>[
 def _formatted(c: Column, kind: T.DataType, spec: str) -> Column | None:
     """A Python format spec over a column with built-in functions; None: it isn't that simple."""
     m = _SPEC.fullmatch(spec)
-    number = isinstance(kind, T.LongType | T.IntegerType)
+    wide = isinstance(kind, T.DecimalType)  # an unsigned number
+    number = wide or isinstance(kind, T.LongType | T.IntegerType)
     if m is None or m["kind"] in ("x", "X", "d") and not number or m["kind"] == "s" and number:
         return None
-    text = F.lower(F.hex(c)) if m["kind"] == "x" else F.hex(c) if m["kind"] == "X" else c.cast("string")
+    digits = F.conv(c.cast("string"), 10, 16) if wide else F.hex(c)
+    text = F.lower(digits) if m["kind"] == "x" else digits if m["kind"] == "X" else c.cast("string")
     if m["width"]:
         fill = m["fill"] or ("0" if m["zero"] else " ")
         right = m["align"] == ">" or not m["align"] and number
-        wide = F.lit(int(m["width"]))
-        padded = F.lpad(text, wide, fill) if right else F.rpad(text, wide, fill)
-        text = F.when(F.char_length(text) < wide, padded).otherwise(text)
+        width = F.lit(int(m["width"]))
+        padded = F.lpad(text, width, fill) if right else F.rpad(text, width, fill)
+        text = F.when(F.char_length(text) < width, padded).otherwise(text)
     return text
 
 
@@ -72,7 +82,7 @@ def as_text(rows: DataFrame, template: str = "{basename}: {name}") -> DataFrame:
     Simple specs become built-in functions; others are formatted in Arrow
     batches.  An unknown key is an error that names the known ones.
     """
-    rows = with_dynamic_fields(rows)
+    rows = _shown(with_dynamic_fields(rows))
     parts: list[Column] = []
     parsed = list(string.Formatter().parse(template))
     for literal, key, spec, convert in parsed:
@@ -92,6 +102,7 @@ def as_text(rows: DataFrame, template: str = "{basename}: {name}") -> DataFrame:
 def _format_udf(template: str, keys: list[str]):
     @F.pandas_udf(T.StringType())
     def fill(batch: pd.DataFrame) -> pd.Series:
-        return pd.Series([template.format(**row) for row in batch.to_dict("records")], index=batch.index, dtype=object)
+        whole = lambda row: {k: int(v) if isinstance(v, Decimal) else v for k, v in row.items()}
+        return pd.Series([template.format(**whole(row)) for row in batch.to_dict("records")], index=batch.index, dtype=object)
 
     return fill

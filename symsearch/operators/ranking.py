@@ -13,6 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symsearch.functions.terms import unsigned_order
 from symsearch.operators.checkpoints import checkpointed
 from symsearch.plans.ast import Leaf, leaves
 from symsearch.plans.compiler import predicate
@@ -39,7 +40,7 @@ def _frequency(leaf: Leaf, schema: Schema) -> Column:
 
 def _length(schema: Schema) -> Column:
     """The number of a row's terms."""
-    parts = [F.coalesce(F.size(t), F.lit(0)) for f in schema.values() for c in f.columns if (t := f.terms(c)) is not None and len(f.columns) == 1]
+    parts = [F.coalesce(F.size(F.filter(t, lambda x: x.isNotNull())), F.lit(0)) for f in schema.values() for c in f.columns if (t := f.terms(c)) is not None and len(f.columns) == 1]
     return sum(parts[1:], parts[0]) if parts else F.lit(1)
 
 
@@ -67,7 +68,7 @@ def scored(df: DataFrame, query: str, parser: Parser) -> DataFrame:
 
 def ranked(df: DataFrame, query: str, parser: Parser, ties: tuple[str, ...] = ("path", "address", "name"), first: int = 0, limit: int | None = None) -> DataFrame:
     """Matching rows by falling score: with a limit, one top-k."""
-    rows = scored(df, query, parser).orderBy(F.desc("score"), *(t for t in ties if t in df.columns))
+    rows = scored(df, query, parser).orderBy(F.desc("score"), *(unsigned_order(t) if t == "address" else t for t in ties if t in df.columns))
     rows = rows.offset(first) if first else rows
     return rows if limit is None else rows.limit(limit)
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symsearch.functions.terms import unsigned_order
+
 
 def owners(symbols: DataFrame, relocations: DataFrame) -> DataFrame:
     """(file, section, r_offset, target, ord, name): the owner of each relocation that has one.
@@ -20,25 +22,27 @@ def owners(symbols: DataFrame, relocations: DataFrame) -> DataFrame:
     ``symbols``: (file, section, address, size, ord, name); ``relocations``:
     (file, section, r_offset, target).  ord: a symbol's place in its file.
     """
+    # addresses are unsigned: as longs that are ordered as they are
+    symbols, relocations = symbols.withColumn("address", unsigned_order("address")), relocations.withColumn("r_offset", unsigned_order("r_offset"))
     sym = F.struct("address", "size", "ord", "name")
     section = Window.partitionBy("file", "section")
     by_address = section.orderBy("address", "ord")
     # each symbol with the one after it: what follows the symbol before an offset is not below the offset;
     # before the first one stands a mark that covers nothing
     s = symbols.select("file", "section", sym.alias("p"), F.lead(sym).over(by_address).alias("q"), F.row_number().over(by_address).alias("nth"))
-    own = F.struct(F.col("p.address").alias("at"), F.col("p.ord").alias("tie"), F.struct("p", "q").alias("sym"))
-    mark = F.struct(F.lit(-(1 << 63)).alias("at"), F.lit(0).cast("long").alias("tie"), F.struct(F.lit(None).cast(s.schema["p"].dataType).alias("p"), F.col("p").alias("q")).alias("sym"))
-    s = s.select("file", "section", F.explode(F.when(F.col("nth") == 1, F.array(mark, own)).otherwise(F.array(own))).alias("x")).select("file", "section", "x.at", "x.tie", "x.sym", F.lit(None).cast("string").alias("target"))
-    r = relocations.select("file", "section", F.col("r_offset").alias("at"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast(s.schema["sym"].dataType).alias("sym"), "target")
-    rows = s.withColumn("is_symbol", F.lit(True)).union(r.withColumn("is_symbol", F.lit(False)))
+    own = F.struct(F.lit(2).alias("kind"), F.col("p.address").alias("at"), F.col("p.ord").alias("tie"), F.struct("p", "q").alias("sym"))
+    mark = F.struct(F.lit(0).alias("kind"), F.lit(-(1 << 63)).alias("at"), F.lit(0).cast("long").alias("tie"), F.struct(F.lit(None).cast(s.schema["p"].dataType).alias("p"), F.col("p").alias("q")).alias("sym"))
+    s = s.select("file", "section", F.explode(F.when(F.col("nth") == 1, F.array(mark, own)).otherwise(F.array(own))).alias("x")).select("file", "section", "x.kind", "x.at", "x.tie", "x.sym", F.lit(None).cast("string").alias("target"))
+    r = relocations.select("file", "section", F.lit(1).alias("kind"), F.col("r_offset").alias("at"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast(s.schema["sym"].dataType).alias("sym"), "target")
+    rows = s.union(r)
     # an offset stands before the symbols at its address: those are not below it
-    order = section.orderBy("at", F.col("is_symbol").asc(), F.col("tie").asc())
+    order = section.orderBy("at", "kind", "tie")
     before = F.last("sym", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    both = rows.withColumn("near", before).where("not is_symbol").select("file", "section", "at", "target", "near.p", "near.q")
+    both = rows.withColumn("near", before).where("kind = 1").select("file", "section", "at", "target", "near.p", "near.q")
     covers = lambda c: (F.col(f"{c}.address") <= F.col("at")) & (F.col("at") < F.col(f"{c}.address") + F.col(f"{c}.size"))
     owner = F.when(covers("p"), F.col("p")).when(covers("q"), F.col("q"))
     found = both.withColumn("owner", owner).where("owner is not null")
-    return found.select("file", "section", F.col("at").alias("r_offset"), "target", F.col("owner.ord").alias("ord"), F.col("owner.name").alias("name"))
+    return found.select("file", "section", unsigned_order("at").alias("r_offset"), "target", F.col("owner.ord").alias("ord"), F.col("owner.name").alias("name"))
 
 
 def reference_lists(symbols: DataFrame, relocations: DataFrame, by_symbol: bool = False) -> DataFrame:

@@ -16,11 +16,11 @@ from symsearch.config import Config
 from symsearch.functions.terms import end_address
 
 
-
 def disassembly_command(row: dict, config: Config) -> list[str]:
     """The command for one hit, as arguments: nothing of the hit is read by a shell."""
     tools = config.for_machine(row["arch"])
-    return [tools.disassembler, *(a.format(**row) for a in shlex.split(tools.disassembler_args))]
+    whole = {k: v % (1 << 64) if k in ("address", "endaddress") else v for k, v in row.items()}
+    return [*shlex.split(tools.disassembler), *(a.format(**whole) for a in shlex.split(tools.disassembler_args))]
 
 
 def disassemble(rows: DataFrame, config: Config) -> Iterator[tuple[dict, str | None]]:
@@ -49,7 +49,7 @@ def find_definitions(rows: DataFrame, config: Config) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                command = [config.for_machine(r.arch).addr2line, "-f", "-i", "-e", r.path, "-j", r.section, hex(r.address)]
+                command = [*shlex.split(config.for_machine(r.arch).addr2line), "-f", "-i", "-e", r.path, "-j", r.section, hex(r.address % (1 << 64))]
                 try:
                     said = subprocess.run(command, capture_output=True, text=True, check=False).stdout
                 except OSError:

@@ -77,6 +77,11 @@ def terms_column(column: str) -> str:
     return f"{column}__terms"
 
 
+def path_columns(column: str) -> tuple[str, str]:
+    """Where an index keeps a path as it is compared, and its last part."""
+    return f"{column}__plain", f"{column}__base"
+
+
 @dataclass(frozen=True)
 class NameField(ExactField):
     """Names: the whole or one of its tokens, without case."""
@@ -119,8 +124,10 @@ class PathField(ExactField):
         return [plain] if plain.startswith("/") else [plain, resolve_literal(plain, self.base)]
 
     def match(self, column: str, value: str, wildcard: bool, have: frozenset[str]) -> Column:
-        path = F.col(column) if f"{column}__plain" in have else normalise_path(column)
-        sides = [path, basename(path)]
+        kept = path_columns(column)
+        path = normalise_path(column)
+        # bare columns reach the Parquet scan
+        sides = [F.col(c) for c in kept] if have.issuperset(kept) else [path, basename(path)]
         return any_of([s.startswith(v) if wildcard else s == v for v in self.literals(value) for s in sides])
 
     def terms(self, column: str) -> Column:
@@ -131,6 +138,8 @@ class PathField(ExactField):
 class IntegerField(ExactField):
     """Whole numbers: one, or a range with or without its ends, decimal or hexadecimal."""
 
+    unsigned: bool = False  #: the column's longs hold unsigned 64-bit numbers
+
     def too_long(self, value: str) -> bool:
         return False
 
@@ -150,6 +159,8 @@ class IntegerField(ExactField):
     def predicate(self, value: str, wildcard: bool, have: frozenset[str] = frozenset()) -> Column:
         low, high = self.bounds(value)
         c = F.col(self.columns[0])
+        if self.unsigned:
+            return _unsigned_between(c, low or 0, (1 << 64) - 1 if high is None else high)
         if low == high:
             return c == _long(low)
         return c <= _long(high) if low is None else c >= _long(low) if high is None else (c >= _long(low)) & (c <= _long(high))
@@ -158,6 +169,22 @@ class IntegerField(ExactField):
         return None
 
 
+def _unsigned_between(c: Column, low: int, high: int) -> Column:
+    """As comparisons of longs, so that they are pushed down: numbers from 2^63 on are the negative ones."""
+    half, whole = 1 << 63, 1 << 64
+    if low > high or low >= whole:
+        return c.isNull() & c.isNotNull()
+    high = min(high, whole - 1)
+    parts = []
+    if low < half:
+        below = F.lit(min(high, half - 1))
+        parts.append(c == below if low == high else (c >= F.lit(low)) & (c <= below))
+    if high >= half:
+        above, top = max(low, half) - whole, high - whole
+        parts.append(c == F.lit(top) if above == top else (c >= F.lit(above)) & (c <= F.lit(top)))
+    return any_of(parts)
+
+
 def _long(n: int) -> Column:
     return F.lit(n) if n < 1 << 63 else F.lit(n).cast("decimal(20,0)") if n < 1 << 64 else F.lit(str(n)).cast("decimal(38,0)")
 

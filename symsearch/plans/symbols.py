@@ -36,8 +36,8 @@ SCHEMA = Schema(
         NameField("demangled", "XD", optional=True),
         ExactField("fullname", "XFN", key=("name", "demangled"), optional=True),
         ExactField("section", "XSN"),
-        IntegerField("address"),
-        IntegerField("size"),
+        IntegerField("address", unsigned=True),
+        IntegerField("size", unsigned=True),
         EnumField("type", "XT", values=TYPE_NAMES),
         ReferencesField("relocations", "XR"),
         IntegerField("mtime"),

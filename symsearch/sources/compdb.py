@@ -44,6 +44,11 @@ def resolve(entries: DataFrame, directory: str) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(last)).where("k = 1").select("binary", "source")
 
 
+def resolved(database: DataFrame, told: DataFrame) -> DataFrame:
+    """(binary, source): what the database says, else what is told by debug information (binary, source)."""
+    return database.unionByName(told.join(database.select("binary"), "binary", "left_anti"))
+
+
 def sources_of(binaries: DataFrame, database: DataFrame) -> DataFrame:
     """``binaries`` (path) with the source of each, null if the database has none."""
     return binaries.join(database.withColumnRenamed("binary", "path"), "path", "left")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symsearch.operators.checkpoints import checkpointed
 from symsearch.operators.relocations import reference_lists
 from symsearch.plans.symbols import MACHINES, SYMBOL, SYMBOL_TYPES
 
@@ -102,6 +103,26 @@ class Elf:
         return [s for kind in (SHT_SYMTAB, SHT_DYNSYM) for s in self.sections if s.kind == kind]
 
 
+def elf_of(symbols: list[tuple[str, str, int, int, int]], machine: int = 62, table: str = ".symtab") -> bytes:
+    """A small ELF file (64 bits, low byte first) of symbols (name, section, value, size, type's code): for tests and examples."""
+    sections = list(dict.fromkeys(s for _, s, *_ in symbols))
+    names, entries = b"\0", struct.pack("<IBBHQQ", 0, 0, 0, 0, 0, 0)
+    for name, section, value, size, kind in symbols:
+        entries += struct.pack("<IBBHQQ", len(names), 16 | kind, 0, 1 + sections.index(section), value, size)
+        names += name.encode() + b"\0"
+    titles = b"\0"
+    parts = [(s, 1, b"", 0, 0) for s in sections] + [(table, SHT_SYMTAB if table == ".symtab" else SHT_DYNSYM, entries, len(sections) + 2, 24), (".strtab", 3, names, 0, 0)]
+    headers, body = struct.pack("<IIQQQQIIQQ", *(0,) * 10), b""
+    for title, kind, data, link, entry in parts:
+        headers += struct.pack("<IIQQQQIIQQ", len(titles), kind, 0, 0, 64 + len(body), len(data), link, 0, 1, entry)
+        titles += title.encode() + b"\0"
+        body += data
+    headers += struct.pack("<IIQQQQIIQQ", len(titles), 3, 0, 0, 64 + len(body), len(titles) + 11, 0, 0, 1, 0)
+    body += titles + b".shstrtab\0\0"
+    first = MAGIC + bytes((2, 1, 1)) + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 1, machine, 1, 0, 0, 64 + len(body), 0, 64, 0, 0, 64, len(parts) + 2, len(parts) + 1)
+    return first + body + headers
+
+
 def is_elf(path: str) -> bool:
     """Whether a file can be read and begins like an ELF file."""
     try:
@@ -177,7 +198,8 @@ def read_symbols(spark: SparkSession, files: DataFrame, *, demangle_names: bool
     readable file without a symbol that is large enough gives one empty row, so
     that an index knows it.  ``sources``: (binary, source) of a compilation database.
     """
-    entries = read_entries(files)
+    # decoded once: symbols, relocations, empty files and errors are read from what is written
+    entries = checkpointed(read_entries(files))
     symbols = entries.where((F.col("kind") == "symbol") & (F.col("size") >= min_symbol_size) & (F.col("name").isNotNull()))
     whole = symbols.select("path", "ord", "arch", "name", "section", "address", "size", "type")
     if with_relocations:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,18 +33,37 @@ class StaticSource(FileSource):
         return spark.createDataFrame([(os.path.join(root, f),) for f in self.files], "path string")
 
 
+@dataclass
+class FrameSource(FileSource):
+    """The files of a frame with a ``path`` column: a list of any length, from any store that Spark reads."""
+
+    files: DataFrame
+
+    def paths(self, spark: SparkSession, root: str) -> DataFrame:
+        path = F.col("path")
+        return self.files.where(path.isNotNull()).select(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)).alias("path"))
+
+
 @dataclass
 class GlobSource(FileSource):
-    """Files whose path below the root matches a glob; ``**`` crosses directories."""
+    """Files whose path below the root matches a glob, or whose whole path does if the glob is absolute; ``**`` crosses directories."""
 
     globs: tuple[str, ...] = DEFAULT_GLOBS
 
     def paths(self, spark: SparkSession, root: str) -> DataFrame:
-        wanted = re.compile("|".join(f"(?:{glob_regex(g)})" for g in self.globs) or "(?!)")
-        found = [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if wanted.match(os.path.relpath(os.path.join(d, f), root))]
+        below, whole = [g for g in self.globs if not os.path.isabs(g)], [g for g in self.globs if os.path.isabs(g)]
+        found = _walk(root, below, lambda path: os.path.relpath(path, root)) if below else set()
+        for g in whole:
+            # from the last folder before the first sign of a pattern on
+            found |= _walk(os.path.dirname(re.split(r"[*?\[{]", g)[0]), [g], lambda path: path)
         return spark.createDataFrame([(f,) for f in sorted(found)], "path string")
 
 
+def _walk(folder: str, globs: list[str], name: Callable[[str], str]) -> set[str]:
+    wanted = re.compile("|".join(f"(?:{glob_regex(g)})" for g in globs))
+    return {path for d, _, names in os.walk(folder) for f in names if wanted.match(name(path := os.path.join(d, f)))}
+
+
 @dataclass
 class CompilationDatabaseSource(FileSource):
     """The binaries of the nearest compilation database."""

@@ -7,8 +7,8 @@ import os
 import duckdb
 
 
-def same(spark, sf_dir: str, query, sql: str) -> None:
-    """The query's rows, in any order, are those of the SQL, and the columns have the same names."""
+def same(spark, sf_dir: str, query, sql: str) -> int:
+    """The query's rows, in any order, are those of the SQL, and the columns have the same names; how many rows."""
     con = duckdb.connect()
     for f in os.listdir(sf_dir):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{sf_dir}/{f}'")
@@ -17,3 +17,4 @@ def same(spark, sf_dir: str, query, sql: str) -> None:
     assert columns == sorted(want.columns)
     rows = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
     assert rows == sorted(map(repr, want.project(", ".join(f'"{c}"' for c in columns)).fetchall()))
+    return len(rows)

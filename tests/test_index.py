@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from symsearch import config
 from symsearch import index as index_
 from symsearch.cli import main
-from symsearch.operators import fileset, graph, tools
+from symsearch.functions.terms import unsigned_order
+from symsearch.operators import fileset, graph, output, tools
 from symsearch.operators.relocations import owners, reference_lists
+from symsearch.plans.compiler import search
 from symsearch.plans.fields import ExactField, Schema, SchemaError
 from symsearch.plans.lexer import QueryError
+from symsearch.plans.parser import Parser
+from symsearch.plans.symbols import DEFAULT_FIELDS, SCHEMA
+from symsearch.plans.symbols import SYMBOL as SCHEMA_ROW
 from symsearch.sources import compdb
-from symsearch.sources.elf import Elf, ElfError, is_elf, read_symbols, stored_files
+from symsearch.sources.elf import Elf, ElfError, elf_of, is_elf, read_symbols, stored_files
 from symsearch.sources.files import CombinedSource, GlobSource, StaticSource, exclude, exclusion_stats
 from symsearch.streaming import incremental
 from tests.symbols import COLUMNS, ROWS
@@ -294,3 +299,85 @@ def test_command_line(spark, tree, tmp_path, capsys):
         assert "foo.s:" in run("find-definition", "name:c_function")[1]
     assert "[indexing]" in run("print-config")[1]
     assert main(["search", "-d", str(tmp_path), "x"]) == 1
+
+
+def test_unsigned_addresses(spark):
+    """Addresses from 2^63 on: in files, searches, order, ranges, relocations and output."""
+    high = 0xFFFFFFFF81000000
+    content = elf_of([("low", ".text", 16, 8, 2), ("kernel", ".text", high, 64, 2), ("half", ".text", 1 << 63, 4, 2)])
+    files = spark.createDataFrame([("/v/linux.o", 1, bytearray(content))], "path string, mtime long, content binary")
+    rows = read_symbols(spark, files, demangle_names=False)[0].cache()
+    names = lambda q: [r.name for r in search(rows, q, Parser(SCHEMA, DEFAULT_FIELDS)).orderBy(unsigned_order("address")).collect()]
+    assert names("address:0xffffffff81000000") == ["kernel"]
+    assert names("address:0x8000000000000000..") == ["half", "kernel"]
+    assert names("address:..0x7fffffffffffffff") == ["low"]
+    assert names("address:17..0xffffffff80000000") == ["half"]
+    assert names("address:0x10..") == ["low", "half", "kernel"]
+    assert names("address:0xffffffffffffffff..0x10") == names("address:0x10000000000000000..") == []
+    text = {r.text for r in output.as_text(rows, "{name} 0x{address:x} {endaddress} {address:>5X}").collect()}
+    assert text == {f"{n} 0x{a:x} {a + z} {a:>5X}" for n, a, z in (("low", 16, 8), ("kernel", high, 64), ("half", 1 << 63, 4))}
+    assert f'"address":{high}' in "".join(r.json for r in output.as_json(rows).collect())
+    one = next(r.asDict() for r in output.with_dynamic_fields(rows).collect() if r.name == "kernel")
+    assert f"0x{high:x}" in tools.disassembly_command(one, config.Config())
+    sym = rows.select(F.col("path").alias("file"), "section", "address", "size", F.col("address").alias("ord"), "name")
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    rel = spark.createDataFrame([("/v/linux.o", ".text", signed(at), "x") for at in (15, 16, 23, 24, high, high + 63, high + 64, 1 << 63)], "file string, section string, r_offset long, target string")
+    assert {(r.r_offset, r.name) for r in owners(sym, rel).collect()} == {(16, "low"), (23, "low"), (signed(high), "kernel"), (signed(high + 63), "kernel"), (signed(1 << 63), "half")}
+
+
+def test_settings_as_published(spark, tmp_path):
+    """Programs with arguments, tables of a folder, and globs of whole paths."""
+    own = tmp_path / "some" / "dir"
+    own.mkdir(parents=True)
+    (tmp_path / "c.toml").write_text(f"""
+[indexing]
+exclude = ["**/*.so"]
+[arch.default]
+addr2line = "addr2line"
+[arch.X86_64]
+disassembler = "objdump -M intel"
+[path."{own}/"]
+arch.default.addr2line = "special-addr2line"
+indexing.index-relocations = true
+""")
+    main_ = config.load(str(tmp_path / "c.toml"))
+    hit = {"arch": "X86_64", "path": "a b.o", "section": ".text", "address": 16, "endaddress": 32, "name": "f"}
+    assert tools.disassembly_command(hit, main_)[:4] == ["objdump", "-M", "intel", "-dC"]
+    assert "a b.o" in tools.disassembly_command(hit, main_)
+    there = main_.for_directory(str(own))
+    assert there.indexing.index_relocations and there.indexing.exclude == ["**/*.so"] and not main_.indexing.index_relocations
+    assert there.for_machine("X86_64").addr2line == "special-addr2line" and there.for_machine("X86_64").disassembler == "objdump -M intel"
+    (own / "libc.so.6").write_bytes(b"x")
+    (own / "b.o").write_bytes(b"x")
+    found = GlobSource(("*.o", f"{tmp_path}/some/*/libc*.so*")).paths(spark, str(own))
+    assert sorted(os.path.basename(r.path) for r in found.collect()) == ["b.o", "libc.so.6"]
+
+
+def test_paths_are_pushed_down(spark, tmp_path):
+    with index_.SymbolIndex.open(spark, str(tmp_path / "i")) as index:
+        index.add_symbols(spark.createDataFrame([("NONE", f"/b//x/./f{i}.o", None, f"n{i}", None, ".text", i, 8, "FUNC", [], 1) for i in range(20)], SCHEMA_ROW))
+        found = index.search("path:f7.o")
+        plan = found._jdf.queryExecution().toString()
+        assert "EqualTo(path__plain" in plan and "EqualTo(path__base" in plan
+        assert [r.name for r in found.collect()] == ["n7"]
+        assert [r.name for r in index.search("path:/b/x/f3.o OR path:/b/x/f1*").orderBy("name").limit(2).collect()] == ["n1", "n10"]
+
+
+def test_two_writers(spark, tmp_path):
+    """The slower one is told."""
+    rows = spark.createDataFrame([("NONE", "/a.o", None, "n", None, ".text", 1, 8, "FUNC", [], 1)], SCHEMA_ROW)
+    first, second = (index_.SymbolIndex.open(spark, str(tmp_path / "i")) for _ in range(2))
+    with pytest.raises(index_.ModifiedError), first.transaction():
+        first.add_symbols(rows)
+        second.add_symbols(rows)
+    assert second.symbols().count() == 1
+
+
+def test_goals_stop_when_reached(spark):
+    """Routes as before, though no level is made for a goal that a start has reached."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(20, 9), (3, 30)], "src long, dst long")
+    goals, starts = spark.createDataFrame([(9,), (30,)], "goal long"), spark.createDataFrame([(20,), (1,)], "start long")
+    seen = []
+    found = graph.routes(edges, starts, goals, num_routes=None, progress=graph.Progress(visited=seen.append))
+    assert {r.goal: r.path for r in found.collect()} == {9: [20, 9], 30: [1, 2, 3, 30]}
+    assert [bool(n) for n in seen] == [True, True, True, False]

@@ -7,7 +7,12 @@ from tests.oracle import same
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_sql(spark, sf_dir, name):
-    same(spark, sf_dir, queries.QUERIES[name], queries.ORACLES[name])
+    rows = same(spark, sf_dir, queries.QUERIES[name], queries.ORACLES[name])
+    assert rows or name == "match_nothing"
+
+
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.ORACLES)
 
 
 def test_entry(spark):
