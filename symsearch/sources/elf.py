@@ -141,22 +141,31 @@ _ROW = "path string, kind string, ord long, arch string, name string, section st
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in _ROW.split(", ")]
+    held: list[tuple] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = []
-            try:
-                if content is None:
-                    with open(path, "rb") as f:
-                        content = f.read()
-                elf = Elf(bytes(content))
-                signed = lambda n: n - (1 << 64) if n >> 63 else n
-                for table in elf.tables():
-                    rows += [(path, "symbol", len(rows) + i, elf.arch, n, s, signed(v), signed(z), t, None, None) for i, (n, s, v, z, t) in enumerate(elf.symbols(table))]
-                rows += [(path, "relocation", i, elf.arch, None, s, signed(o), None, None, target, None) for i, (s, o, target) in enumerate(elf.relocations())]
-                rows.append((path, "file", 0, elf.arch, None, None, None, None, None, None, None))
-            except (ElfError, OSError, struct.error, IndexError) as e:
-                rows = [(path, "error", 0, None, None, None, None, None, None, None, str(e))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROW.split(", ")])
+            held += _entries(path, content)
+            if len(held) >= 20_000:  # small files share a frame
+                yield pd.DataFrame(held, columns=columns)
+                held = []
+    yield pd.DataFrame(held, columns=columns)
+
+
+def _entries(path: str, content: bytes | None) -> list[tuple]:
+    rows: list[tuple] = []
+    try:
+        if content is None:
+            with open(path, "rb") as f:
+                content = f.read()
+        elf = Elf(bytes(content))
+        signed = lambda n: n - (1 << 64) if n >> 63 else n
+        for table in elf.tables():
+            rows += [(path, "symbol", len(rows) + i, elf.arch, n, s, signed(v), signed(z), t, None, None) for i, (n, s, v, z, t) in enumerate(elf.symbols(table))]
+        rows += [(path, "relocation", i, elf.arch, None, s, signed(o), None, None, target, None) for i, (s, o, target) in enumerate(elf.relocations())]
+        return [*rows, (path, "file", 0, elf.arch, None, None, None, None, None, None, None)]
+    except (ElfError, OSError, struct.error, IndexError) as e:
+        return [(path, "error", 0, None, None, None, None, None, None, None, str(e))]
 
 
 def read_entries(files: DataFrame) -> DataFrame:
