@@ -43,7 +43,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = class_lm.score(docs, class_lm.fit(docs.where(class_lm.in_training("doc_id"))))
+    scored = class_lm.score(class_lm.fit(docs, training=class_lm.in_training("doc_id")))
     return scored.select("doc_id", (~class_lm.in_training("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
