@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
-MEASURES = ("words", "chars", "word_length", "long_words", "distinct", "repeated", "symbols", "pipes", "marks", "exclaims", "digits", "upper", "upper_words", "capitals", "other", "line_length", "dup_lines", "stops", "ends", "common", "spread", "at", "slashes", "junk_tails")
+MEASURES = ("words", "chars", "word_length", "long_words", "distinct", "repeated", "symbols", "pipes", "marks", "exclaims", "digits", "upper", "upper_words", "capitals", "other", "line_length", "dup_lines", "stops", "ends", "common", "spread", "at", "slashes")
 
 #: Deletes everything but the named bytes.
 _ONLY = {name: bytes(b for b in range(256) if b not in keep) for name, keep in {"symbols": b"#*$%&<>~^=", "pipes": b"|", "marks": b".,;:?()\"'-", "exclaims": b"!", "digits": b"0123456789", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "other": bytes(range(128, 256)), "at": b"@", "slashes": b"/\\"}.items()}
-_TAIL = re.compile(rb"[#*$%&<>|~^!]{2,}(?=\s|$)")
 
 
 def measure(text: bytes) -> list[float]:
@@ -50,5 +48,4 @@ def measure(text: bytes) -> list[float]:
         (sum(x * x for x in lengths) / n - mean * mean) ** 0.5 if n > 1 else 0.0,
         only["at"] / n,
         only["slashes"] / n,
-        len(_TAIL.findall(text)) / n,
     ]

@@ -116,7 +116,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """
     facts = measured(docs, id_col, text_col)
     train = facts.join(F.broadcast(labelled_rows(labels, [label_col], most=labelled)), "doc")  # at most ``labelled`` rows
-    rows = train.orderBy(F.xxhash64("doc"), "doc").select(label_col, *MEASURES).limit(2 * labelled).collect()
+    rows = train.orderBy(F.xxhash64("doc"), "doc", *MEASURES).select(label_col, *MEASURES).limit(2 * labelled).collect()
     x = np.array([tuple(r)[1:] for r in rows], float).reshape(-1, len(MEASURES))
     model = PairwiseModel.fit(x, np.array([int(r[0]) for r in rows]), pairs)
     score = model.score([F.col(m) for m in MEASURES])

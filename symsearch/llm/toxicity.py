@@ -29,6 +29,8 @@ from symsearch.llm.pairwise_quality import labelled_rows
 LABELLED, WORDS, BUCKETS, FOLDS = 12_000, 512, 1 << 20, 5
 #: A word is used if the share of positive documents among those that have it is so many standard deviations above chance.
 CHANCE = 4.0
+#: The square of what recall counts when a threshold is chosen, precision being 1.
+BETA2 = 0.5
 _EDGES = b".,;:!?()[]{}\"'`*_#$%&|<>"
 
 
@@ -67,32 +69,25 @@ class Chain:
 
     @classmethod
     def fit(cls, categories: list[str], buckets: list[np.ndarray], form: np.ndarray, labels: np.ndarray, fold: np.ndarray, ridge: float = 1.0) -> Chain:
-        """labels: a column of 0 and 1 for each category; fold: of each row, below FOLDS."""
+        """labels: a column of 0 and 1 for each category; fold: of each row, below FOLDS.
+
+        What is predicted of a fold comes from words and weights that are chosen
+        without it.
+        """
         n = len(form)
-        chosen = set()
-        rows = np.repeat(np.arange(n), [len(b) for b in buckets])
-        flat = np.concatenate(buckets) if n else np.zeros(0, np.int64)
-        names, index = np.unique(flat, return_inverse=True)
-        df = np.bincount(index, minlength=len(names))
-        for c in range(len(categories)):
-            # words whose share of positive documents is most above chance
-            y = labels[:, c]
-            rate = y.mean() if n else 0.0
-            positive = np.bincount(index, weights=y[rows], minlength=len(names))
-            stray = (positive - df * rate) / np.sqrt(df * rate * (1 - rate) + 1.0)
-            best = np.argsort(-stray, kind="stable")[: WORDS // len(categories)]
-            chosen.update(names[best[stray[best] >= CHANCE]].tolist())
-        chain = cls(categories, np.array(sorted(chosen), np.int64), form.mean(0) if n else np.zeros(form.shape[1]), form.std(0) + 1e-6 if n else np.ones(form.shape[1]))
-        x = chain.inputs(buckets, form)
+        chain = cls(categories, chosen_words(buckets, labels), form.mean(0) if n else np.zeros(form.shape[1]), form.std(0) + 1e-6 if n else np.ones(form.shape[1]))
+        outs = [fold == k for k in range(FOLDS)]
+        chains = [cls(categories, chosen_words([b for b, o in zip(buckets, out, strict=True) if not o], labels[~out]), chain.mean, chain.scale) for out in outs]
+        x, earlier = chain.inputs(buckets, form), np.zeros((n, 0))
         for c in range(len(categories)):
             y = labels[:, c].astype(float)
             oof = np.zeros(n)
-            for k in range(FOLDS):
-                out = fold == k
-                oof[out] = _apply(x[out], _fit(x[~out], y[~out], ridge))
-            chain.weights.append(_fit(x, y, ridge) if n else np.zeros(x.shape[1] + 1))
+            for out, without in zip(outs, chains, strict=True):
+                own = np.hstack((without.inputs(buckets, form), earlier))
+                oof[out] = _apply(own[out], _fit(own[~out], y[~out], ridge))
+            chain.weights.append(_fit(np.hstack((x, earlier)), y, ridge) if n else np.zeros(x.shape[1] + c + 1))
             chain.thresholds.append(best_threshold(oof, y))
-            x = np.hstack((x, oof[:, None]))
+            earlier = np.hstack((earlier, oof[:, None]))
         return chain
 
     def inputs(self, buckets: list[np.ndarray], form: np.ndarray) -> np.ndarray:
@@ -111,6 +106,23 @@ class Chain:
         return x[:, x.shape[1] - len(self.weights) :]
 
 
+def chosen_words(buckets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The words whose share of positive rows is most above chance in any category: WORDS at most, sorted."""
+    chosen: set[int] = set()
+    n, categories = labels.shape
+    rows = np.repeat(np.arange(n), [len(b) for b in buckets])
+    names, index = np.unique(np.concatenate(buckets) if n else np.zeros(0, np.int64), return_inverse=True)
+    df = np.bincount(index, minlength=len(names))
+    for c in range(categories if n else 0):
+        y = labels[:, c]
+        rate = y.mean()
+        positive = np.bincount(index, weights=y[rows], minlength=len(names))
+        stray = (positive - df * rate) / np.sqrt(df * rate * (1 - rate) + 1.0)
+        best = np.argsort(-stray, kind="stable")[: WORDS // categories]
+        chosen.update(names[best[stray[best] >= CHANCE]].tolist())
+    return np.array(sorted(chosen), np.int64)
+
+
 def form_of(all_texts: list[bytes]) -> np.ndarray:
     return np.array([measure(t) for t in all_texts], float).reshape(-1, len(MEASURES))
 
@@ -121,8 +133,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
         return 2.0
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    # precision counts twice as much as recall: clean documents are to be left alone
-    f = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    # precision counts more than recall: clean documents are to be left alone
+    f = (1 + BETA2) * hits / (np.arange(1, len(y) + 1) + BETA2 * y.sum())
     k = int(np.argmax(f))
     return float((p[order[k]] + (p[order[k + 1]] if k + 1 < len(p) else 0.0)) / 2)
 
@@ -132,7 +144,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 
     ``categories`` gives, in the chain's order, a 0/1 column of each category
     over ``label_cols``; a null label is 0.  ``fold``: ids with that CRC-32
-    modulo 5 are held out (None: no ids).
+    modulo 5 are held out (None: no ids).  Rows of one id all count, those with
+    the lowest hashes of ids first; a null id has no label.  Without labelled
+    rows the chain knows no word and finds nothing; empty and null texts are
+    rows like any other.
     """
     names = list(categories)
     chosen = labelled_rows(labels, label_cols, fold=fold, most=labelled).select("doc", *(F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())))
@@ -149,7 +164,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 
     key = F.col("doc").cast("string").cast("binary")
     found = rows.select("text", (F.crc32(F.concat(key, F.lit(b"/fold"))) % FOLDS).cast("int").alias("fold"), F.xxhash64("doc").alias("h"), *ys).mapInArrow(run, ", ".join(["fold int", "h long", *(f"{y} int" for y in ys), "buckets binary", "form binary"]))
-    got = sorted(found.limit(2 * labelled).collect())
+    # as repeated ids may give more rows: the same ones in each run
+    got = found.orderBy("h", *ys, "buckets", "form").limit(2 * labelled).collect()
     return Chain.fit(
         names,
         [np.frombuffer(r.buckets, "<i4").astype(np.int64) for r in got],

@@ -109,32 +109,32 @@ SECRETS = re.compile(r'AKIA[0-9A-Z]{16}|(?<=token = ")[0-9a-f]{40}|(?<=password=
 
 
 @pytest.fixture(scope="module")
-def forest(spark):
-    return secret_scan.train_forest(secret_scan.labelled_findings(spark))
+def scanner(spark):
+    return secret_scan.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
-def test_forest_on_other_labelled_findings(spark, forest):
+def test_forest_on_other_labelled_findings(spark, scanner):
     other = secret_scan.labelled_findings(spark, 1500, seed=77)
-    measured = other.selectExpr("label", "named_struct(" + ", ".join(f"'{k}', cast({v} as double)" for k, v in secret_scan.MEASURES.items()) + ") as f")
-    right = measured.selectExpr(f"avg(if(({forest} >= 0.5) = (label = 1), 1.0, 0.0)) as r").first().r
+    measured = other.selectExpr("label", "named_struct(" + ", ".join(f"'{k}', cast({v} as double)" for k, v in scanner.measures.items()) + ") as f")
+    right = measured.selectExpr(f"avg(if(({scanner.forest} >= 0.5) = (label = 1), 1.0, 0.0)) as r").first().r
     assert float(right) > 0.93
 
 
-def test_planted_secrets_are_found_and_numbers_are_not(spark, forest):
+def test_planted_secrets_are_found_and_numbers_are_not(spark, scanner):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = secret_scan.scan(docs, forest=forest).collect()
+    rows = secret_scan.scan(docs, scanner=scanner).collect()
     found = {(r.doc_id, r.value) for r in rows if r.is_secret}
     want = {(r.doc_id, s) for r in docs.collect() for s in SECRETS.findall(r.text)}
     assert want and want <= found
     assert all(not r.is_secret for r in rows if re.fullmatch(r"[0-9]{16}", r.value))
 
 
-def test_redaction_changes_secrets_alone(spark, forest):
+def test_redaction_changes_secrets_alone(spark, scanner):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = {}
-    for r in secret_scan.scan(docs, forest=forest).where("is_secret").collect():
+    for r in secret_scan.scan(docs, scanner=scanner).where("is_secret").collect():
         found.setdefault(r.doc_id, set()).add(r.value)
-    got = {r.doc_id: r for r in secret_scan.redact(docs, forest=forest).collect()}
+    got = {r.doc_id: r for r in secret_scan.redact(docs, scanner=scanner).collect()}
     for r in docs.collect():
         text = r.text
         for value in found.get(r.doc_id, ()):
@@ -143,16 +143,16 @@ def test_redaction_changes_secrets_alone(spark, forest):
         assert got[r.doc_id].n_chars == (len(text) if text != r.text else r.n_chars)
 
 
-def test_secret_scan_stays_in_the_jvm(spark, forest):
-    plan = secret_scan.redact(odd(spark), forest=forest)._jdf.queryExecution().toString()
+def test_secret_scan_stays_in_the_jvm(spark, scanner):
+    plan = secret_scan.redact(odd(spark), scanner=scanner)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_secret_scan_of_odd_rows(spark, forest):
+def test_secret_scan_of_odd_rows(spark, scanner):
     docs = odd(spark)
-    assert secret_scan.redact(docs, forest=forest).columns == docs.columns
-    assert sorted(map(str, secret_scan.redact(docs, forest=forest).collect())) == sorted(map(str, docs.collect()))
+    assert secret_scan.redact(docs, scanner=scanner).columns == docs.columns
+    assert sorted(map(str, secret_scan.redact(docs, scanner=scanner).collect())) == sorted(map(str, docs.collect()))
     key = "AKIA" + "Q7WXB2MNPLK4RTY9"
     rows = spark.createDataFrame([(1, f"{key} {key}\x01{key}", None), (None, key, "x"), (3, None, "y"), (4, "a" * 100_000 + "1", "z")], "doc_id long, text string, source string")
-    assert [r.text for r in secret_scan.redact(rows, forest=forest).orderBy("source").collect()][:2] == ["<SECRET> <SECRET>\x01<SECRET>", "<SECRET>"]
-    assert secret_scan.scan(empty(spark), forest=forest).count() == 0 and secret_scan.redact(empty(spark), forest=forest).count() == 0
+    assert [r.text for r in secret_scan.redact(rows, scanner=scanner).orderBy("source").collect()][:2] == ["<SECRET> <SECRET>\x01<SECRET>", "<SECRET>"]
+    assert secret_scan.scan(empty(spark), scanner=scanner).count() == 0 and secret_scan.redact(empty(spark), scanner=scanner).count() == 0
