@@ -37,7 +37,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs no recomputation of what came
     before, and branches that read the table do not run its plan twice.
     """
-    path = f"{shared_folder(df.sparkSession)}/symsearch-{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/symsearch-{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -53,11 +54,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def clear_tables(spark: SparkSession) -> None:
-    """Delete all tables that :func:`written` has made in the shared folder: once nothing that reads them is needed."""
+    """Delete all tables that :func:`written` has made in this application: once nothing that reads them is needed."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "symsearch-*")) or []:
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, f"symsearch-{spark.sparkContext.applicationId}-*")) or []:
         fs.delete(found.getPath(), True)
 
 
@@ -78,5 +79,13 @@ def chunks(items: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield start, len(items)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def as_type(schema, name: str) -> str:
     return schema[name].dataType.simpleString()

@@ -1,21 +1,38 @@
 """Secret scans with a random forest that removes false positives.
 
-A pattern finds candidates: long runs of token characters with a digit, values
-that are assigned to secret names, and formats (dotted tokens as a whole, paths
-of URLs, passwords in URLs).  What speaks for a secret is then measured
-with SQL functions: the candidate's length, how often its characters change
-class, how much of it dictionary words cover, whether it stands in a path, and
-the neighbouring words.  A random forest trained on labelled findings judges the
-measures; its trees are written out as one SQL expression, so finding, measuring,
-judging and redacting all happen in the JVM on the row, without a shuffle.
+A pattern finds candidates: runs of 12 token characters or more with a digit,
+values of 8 characters or more that are assigned to secret names, and formats
+(dotted tokens as a whole, paths of URLs, passwords in URLs).  A shorter run, or
+one without a digit, that nothing of this marks isn't looked at.  What speaks for
+a secret is then measured with SQL functions:
+
+* the candidate's length, signs, and changes of character class;
+* its character transitions: how likely each character is after the one before
+  it, by the pairs of characters in the words of all documents;
+* dictionary coverage: how much of it are frequent words of the documents, or
+  words that labelled false findings are made of;
+* whether it stands in a path, and the words of its file's path;
+* the words around it.
+
+What a word of a path or beside a candidate speaks for is learned from one half
+of the labelled findings (log odds).  A random forest trained on the other half
+judges the measures; its trees are written out as one SQL expression, so finding,
+measuring, judging and redacting all happen in the JVM on the row.  Only the
+counts of words and character pairs are shuffled.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The form of candidates.
+from symsearch.llm.common import discard, written
+
+# The form of candidates.
 #: A name whose value is a secret, up to its value.
 NAMED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key|auth|credentials?)[\x22\x27]?\s{0,3}(?:=>|:=|[=:])\s{0,3}"
 #: What such a name is given: 8 or more characters of any kind, up to the other quote, or up to a blank or the next parameter.
@@ -29,31 +46,67 @@ RUN = rf"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/-]*+[0-9])(?![A-Za-z0-9_+/-]*{NAMED}
 CANDIDATE = f"{VALUE}|{IN_URL}|{DOTTED}|{RUN}"
 #: How much text before and after a candidate is looked at.
 BEFORE, AFTER = 48, 24
+#: So many pieces of text and candidates hold more than that: each two have five characters.
+NEAR = 2 * (BEFORE // 5 + 2)
 
-# Words and prefixes that the measures look for.
+#: How credentials of some public formats begin.
 PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|ya29|SG_|eyJ|npm_|pypi-|SG\.)"
-DICTIONARY = r"(?i)(?:example|sample|dummy|placeholder|change|replace|insert|your|here|fake|test|demo|none|null|undefined|password|secret|token|access|public|private|version|release|build|index|image|file|page|user|name|date|time|data|info|item|list|test|main|prod|stage|north|south|east|west|alpha|beta|gamma|delta|abcdef|qwerty|xxxx+|0000+|1234+)"
-SECRET_WORDS = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|credential|bearer|private[_ -]?key|client[_ -]?secret)"
-OTHER_WORDS = r"(?i)(?:example|sample|dummy|placeholder|uuid|guid|sha-?\d*|md5|checksum|commit|revision|hash|digest|image|version|isbn|phone|tel|order|invoice|file|figure|id)\b"
 ASSIGNED = r"[=:]\s{0,3}[\x22\x27]?$"
 PATH_BEFORE = r"(?:[/\\]|https?:|www\.)[^\s]*$"
-TEST_PATH = r"(?i)(?:test|example|sample|fixture|mock|docs?/)"
 
-#: What is measured of a candidate c between the texts b and a, in the file p; SQL over those names.
-MEASURES = {
+#: Characters of which transitions are counted: letters without case, digits as one, all others as one.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0."
+
+
+def _symbols(text: str) -> str:
+    """SQL: a text in SYMBOLS."""
+    return f"regexp_replace(translate(lower({text}), '0123456789', '0000000000'), '[^a-z0]', '.')"
+
+
+def _words(text: str) -> str:
+    """SQL: the words of letters in a text, in lower case, camel case taken apart."""
+    return f"filter(split(lower(regexp_replace({text}, '([a-z])([A-Z])', '$1 $2')), '[^a-z]+'), w -> length(w) > 1)"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with a name for a value that is made once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _coverage(words: list[str]) -> str:
+    if not words:
+        return "0.0"
+    return f"aggregate({_words('c')}, 0, (s, w) -> s + if(w in ({', '.join(repr(w) for w in words)}), length(w), 0)) / length(c)"
+
+
+def _odds(text: str, odds: dict[str, float]) -> str:
+    """SQL: the log odds of a text's words, added up."""
+    if not odds:
+        return "0.0"
+    cases = " ".join(f"when {w!r} then {x!r}D" for w, x in odds.items())
+    return f"aggregate(array_distinct({_words(text)}), 0D, (s, w) -> s + case w {cases} else 0D end)"
+
+
+def _transitions(pairs: list[float]) -> str:
+    """SQL: the mean log10 chance of the candidate's character pairs."""
+    n = len(SYMBOLS)
+    place = lambda i: f"instr('{SYMBOLS}', substr(z, {i}, 1))"
+    step = f"element_at(array({', '.join(f'{x!r}D' for x in pairs)}), ({place('i')} - 1) * {n} + {place('i + 1')})"
+    return _let(_symbols("c"), "z", f"aggregate(sequence(1, greatest(1, length(z) - 1)), 0D, (s, i) -> s + coalesce({step}, 0D)) / greatest(1, length(z) - 1)")
+
+
+#: What is measured of a candidate c between the texts b and a, in the file p, by its form; SQL over those names.
+FORM = {
     "length": "length(c)",
-    "transitions": r"regexp_count(c, '[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])') / length(c)",
+    "changes": r"regexp_count(c, '[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])') / length(c)",
     "digits": "regexp_count(c, '[0-9]') / length(c)",
     "upper": "regexp_count(c, '[A-Z]') / length(c)",
     "signs": "regexp_count(c, '[_+/=-]') / length(c)",
     "hex": "if(c rlike '^[0-9a-f]+$|^[0-9A-F]+$', 1.0, 0.0)",
     "groups": "if(c rlike '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$', 1.0, 0.0)",
     "variety": "size(array_distinct(split(c, ''))) / length(c)",
-    "dictionary": f"1 - length(regexp_replace(c, '{DICTIONARY}', '')) / length(c)",
     "prefix": f"if(c rlike '{PREFIXES}', 1.0, 0.0)",
     "assigned": f"if(b rlike '{ASSIGNED}', 1.0, 0.0)",
-    "secret_words": f"if(b rlike '{SECRET_WORDS}', 1.0, 0.0)",
-    "other_words": f"if(b rlike '{OTHER_WORDS}' or a rlike '{OTHER_WORDS}', 1.0, 0.0)",
     "in_path": rf"if(b rlike '{PATH_BEFORE}' or c rlike '^/|[a-z]/[a-z]', 1.0, 0.0)",
     "named": rf"if(b rlike '(?:{NAMED}[\x22\x27]?|(?i:bearer)\s+)$', 1.0, 0.0)",
     "other_signs": "regexp_count(c, '[^A-Za-z0-9_+/.=-]') / length(c)",
@@ -64,12 +117,13 @@ MEASURES = {
     "code": r"if(c rlike '^[$%{<]|[(\[{]|^[a-zA-Z_]+([.][a-zA-Z_]+)+$|^[*x]+$', 1.0, 0.0)",
     "url_password": r"if(a rlike '^@' and b rlike '://[^\s/:@]*:$', 1.0, 0.0)",
     "hook": r"if(b rlike '(?i)hook[^\s]*$' or c rlike '(?i)hook|^services/T[0-9A-Z]', 1.0, 0.0)",
-    "test_path": f"if(p rlike '{TEST_PATH}', 1.0, 0.0)",
 }
-MEASURES = {k: v.replace("\\", "\\\\") for k, v in MEASURES.items()}
+FORM = {k: v.replace("\\", "\\\\") for k, v in FORM.items()}
 
-#: Production parameters of the forest; a finding is a secret from THRESHOLD on.
-LABELLED, TREES, DEPTH, THRESHOLD = 3000, 15, 6, 0.5
+#: Production parameters: frequent words of the documents in the dictionary; words of labelled findings that count, and in how many findings they have to be.
+DICTIONARY, ODDS, LEAST = 4000, 150, 8
+#: Of the forest; a finding is a secret from THRESHOLD on.
+LABELLED, TREES, DEPTH, THRESHOLD = 6000, 15, 7, 0.5
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = 1) -> DataFrame:
@@ -130,7 +184,8 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = 1) ->
     ]
     after = "case pmod(id, {}) {} else {} end".format(len(kinds), " ".join(f"when {k} then {x[3]}" for k, x in enumerate(kinds) if len(x) > 3), quote)
     choose = lambda i: "case pmod(id, {}) {} end".format(len(kinds), " ".join(f"when {k} then {x[i]}" for k, x in enumerate(kinds)))
-    path = pick("p", "src/app.py", "config/prod.env", "notes.txt", "web", "host", "deploy.yaml")
+    # half of the false ones stand in files of tests and texts
+    path = f"if({choose(2)} = 0 and pmod(xxhash64(id, 'f'), 2) = 0, {pick('qq', 'tests/test_app.py', 'docs/readme.md', 'examples/sample.cfg', 'spec/fixture.json')}, {pick('p', 'src/app.py', 'config/prod.env', 'notes.txt', 'web', 'host', 'deploy.yaml')})"
     return spark.range(n).selectExpr(f"{choose(0)} as c", f"{choose(1)} as b", f"{after} as a", f"{path} as p", f"{choose(2)} as label")
 
 
@@ -142,71 +197,149 @@ def _tree(node, names: list[str]) -> str:
     return f"if(f.{names[split.featureIndex()]} <= {split.threshold()!r}D, {_tree(node.leftChild(), names)}, {_tree(node.rightChild(), names)})"
 
 
-def train_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> str:
-    """A random forest over the MEASURES of labelled findings (c, b, a, p, label), as SQL over a struct f of them."""
+def corpus_counts(docs: DataFrame, text_col: str = "text", dictionary: int = DICTIONARY) -> tuple[list[str], list[float]]:
+    """(the most frequent words of three letters or more, log10 of each character's chance after each other one), over all texts."""
+    words = docs.selectExpr(f"explode(split({_column(text_col)}, '[ \\\\t-\\\\r]+')) as w").where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = written(words, "words")
+    some = words.selectExpr(f"explode({_words('w')}) as w", "n").where("length(w) > 2").groupBy("w").agg(F.sum("n").alias("n"))
+    frequent = [r.w for r in some.orderBy(F.desc("n"), "w").limit(dictionary).collect()]
+    pairs = words.selectExpr(f"{_symbols('w')} as z", "n").where("length(z) > 1").selectExpr("explode(transform(sequence(1, length(z) - 1), i -> substr(z, i, 2))) as pair", "n")
+    counts = {r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # at most the square of SYMBOLS
+    discard(words)
+    chances = []
+    for a in SYMBOLS:
+        own = [counts.get(a + b, 0) for b in SYMBOLS]
+        chances += [math.log10((n + 0.5) / (sum(own) + 0.5 * len(own))) for n in own]
+    return frequent, chances
+
+
+def _column(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _word_odds(findings: DataFrame, text: str, least: int = LEAST, most: int = ODDS) -> dict[str, float]:
+    """How much each word of a text speaks for a secret in labelled findings: log odds of those that are in enough of them, the most frequent ones."""
+    total = {r.label: r.n for r in findings.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = findings.selectExpr("label", f"explode(array_distinct({_words(text)})) as w").groupBy("w").agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no"))
+    rows = each.where(F.col("yes") + F.col("no") >= least).orderBy(F.desc(F.col("yes") + F.col("no")), "w").limit(most).collect()
+    chance = lambda n, label: (n + 0.5) / (total.get(label, 0) + 1)
+    return {r.w: round(math.log(chance(r.yes, 1) / chance(r.no, 0)), 6) for r in rows}
+
+
+def _tree(node, names: list[str]) -> str:
+    if node.subtreeDepth() == 0:
+        stats = [float(x) for x in node.impurityStats().stats()]
+        return repr(round(stats[1] / max(sum(stats), 1e-9), 6)) + "D"
+    split = node.split()
+    return f"if(f.{names[split.featureIndex()]} <= {split.threshold()!r}D, {_tree(node.leftChild(), names)}, {_tree(node.rightChild(), names)})"
+
+
+@dataclass(frozen=True)
+class Scanner:
+    """Measures of a candidate, as SQL over c, b, a and p, and the forest, as SQL over a struct f of them."""
+
+    measures: dict[str, str]
+    forest: str
+
+
+def learn(docs: DataFrame, labelled: DataFrame | None = None, *, text_col: str = "text", trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> Scanner:
+    """From all texts of ``docs`` and labelled findings (c, b, a, p, label); None: those of :func:`labelled_findings`.
+
+    The words' odds come from the findings whose text hashes to an even number,
+    the forest from the others.  Without a text no word is in the dictionary and
+    all transitions are as likely; null texts have no words.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    names = list(MEASURES)
-    x = labelled.selectExpr(*(f"cast({sql} as double) as {k}" for k, sql in MEASURES.items()), "cast(label as double) as label")
+    frequent, pairs = corpus_counts(docs, text_col)
+    labelled = labelled_findings(docs.sparkSession) if labelled is None else labelled
+    even = F.pmod(F.xxhash64("c", "b"), F.lit(2)) == 0
+    first, second = labelled.where(even), labelled.where(~even)
+    false = first.where("label = 0").selectExpr(f"explode(array_distinct({_words('c')})) as w").where("length(w) > 2").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    words = sorted({*frequent, *(r.w for r in false.collect())})
+    measures = FORM | {
+        "transitions": _transitions(pairs),
+        "dictionary": _coverage(words),
+        "before": _odds("b", _word_odds(first, "b")),
+        "after": _odds("a", _word_odds(first, "a")),
+        "path_words": _odds("p", _word_odds(first, "p")),
+    }
+    names = list(measures)
+    x = written(second.selectExpr(*(f"cast({sql} as double) as {k}" for k, sql in measures.items()), "cast(label as double) as label"), "findings")
     x = VectorAssembler(inputCols=names, outputCol="x").transform(x).select("x", "label").coalesce(1)
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(x)
     grown = [_tree(t._call_java("rootNode"), names) for t in model.trees]
-    return f"({' + '.join(grown)}) / {len(grown)}D"
+    return Scanner(measures, f"({' + '.join(grown)}) / {len(grown)}D")
 
 
-def findings(text: str, path: str, forest: str, threshold: float = THRESHOLD) -> str:
+def findings(text: str, path: str, scanner: Scanner, threshold: float = THRESHOLD) -> str:
     """SQL: the candidates in a text column as an array of (value, f, score, is_secret)."""
     pattern = CANDIDATE.replace("\\", "\\\\")
-    measures = ", ".join(f"'{k}', cast({sql} as double)" for k, sql in MEASURES.items())
-    pieces, found = f"split({text}, '{pattern}', -1)", f"regexp_extract_all({text}, '{pattern}', 0)"
-    around = f"transform({found}, (c, i) -> struct(c as c, right({pieces}[i], {BEFORE}) as b, left({pieces}[i + 1], {AFTER}) as a, coalesce({path}, '') as p))"
+    measures = ", ".join(f"'{k}', cast({sql} as double)" for k, sql in scanner.measures.items())
+    # what is between candidates and the candidates in turn, no more of each than may be near another one; nothing is longer
+    # than NEAR pieces around: a candidate and what is before it have five characters at least
+    turns = f"flatten(zip_with(split({text}, '{pattern}', -1), regexp_extract_all({text}, '{pattern}', 0), (s, r) -> array(s, coalesce(r, ''))))"
+    join = lambda begin, size: f"array_join(transform(slice(x.t, {begin}, {size}), s -> if(length(s) > {BEFORE + AFTER}, concat(left(s, {AFTER}), right(s, {BEFORE})), s)), '')"
+    before = f"right({join(f'greatest(1, 2 * i + 1 - {NEAR})', f'least(2 * i + 1, {NEAR + 1})')}, {BEFORE})"
+    after = f"left({join('2 * i + 3', str(NEAR))}, {AFTER})"
+    around = _let(f"struct({turns} as t)", "x", f"transform(filter(x.t, (s, k) -> k % 2 = 1), (c, i) -> struct(c as c, {before} as b, {after} as a, coalesce({path}, '') as p))")
     own = measures
     for k in "cbap":
         own = _names(own, k)
-    measured = f"transform({around}, x -> struct(x.c as value, named_struct({own}) as f))"
-    scored = f"transform({measured}, x -> struct(x.value as value, x.f as f, {forest.replace('f.', 'x.f.')} as score))"
+    # the last piece has no candidate after it
+    measured = f"transform(filter({around}, y -> y.c <> ''), x -> struct(x.c as value, named_struct({own}) as f))"
+    scored = f"transform({measured}, x -> struct(x.value as value, x.f as f, {scanner.forest.replace('f.', 'x.f.')} as score))"
     return f"transform({scored}, x -> struct(x.value as value, x.f as f, x.score as score, x.score >= {threshold}D as is_secret))"
 
 
 def _names(sql: str, name: str) -> str:
-    """The variable ``name`` in the MEASURES' SQL as a field of the lambda's x."""
-    import re
-
+    """The variable ``name`` in the measures' SQL as a field of the lambda's x."""
     return "".join(part if i % 2 else re.sub(rf"(?<![\w.]){name}(?![\w(.])", f"x.{name}", part) for i, part in enumerate(re.split(r"('(?:[^'\\]|\\.)*')", sql)))
 
 
-def scan(docs: DataFrame, *, forest: str | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, *, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each candidate: id, ``nth`` in its document, ``value``, ``score``, ``is_secret``.
 
-    A null or empty text has no candidate, a null path names no file, a null id
-    stays null.  Repeated rows give repeated findings.  Other columns are not read.
+    ``scanner``: None learns one from ``docs``.  A null or empty text has no
+    candidate, a null path names no file, a null id stays null.  Repeated rows
+    give repeated findings.  Other columns are not read.
     """
-    forest = forest or train_forest(labelled_findings(docs.sparkSession))
+    scanner = scanner or learn(docs, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(path_col) if path_col else F.lit("")).cast("string").alias("s"))
     some = rows.where(F.col("t").rlike(CANDIDATE))
-    found = some.select("i", F.posexplode(F.expr(findings("t", "s", forest, threshold))).alias("nth", "x"))
+    found = some.select("i", F.posexplode(F.expr(findings("t", "s", scanner, threshold))).alias("nth", "x"))
     return found.select(F.col("i").alias(id_col), "nth", F.col("x.value").alias("value"), F.col("x.score").alias("score"), F.col("x.is_secret").alias("is_secret"))
 
 
-def redacted(text_col: str, path_col: str | None, forest: str, threshold: float = THRESHOLD, mark: str = "<SECRET>") -> Column:
+def redacted(text_col: str, path_col: str | None, scanner: Scanner, threshold: float = THRESHOLD, mark: str = "<SECRET>") -> Column:
     """The text with the mark in place of each secret, and all else as it was; null stays null."""
     pattern = CANDIDATE.replace("\\", "\\\\")
-    text, path = f"`{text_col}`", f"cast(`{path_col}` as string)" if path_col else "''"
-    own = f"transform({findings(text, path, forest, threshold)}, x -> if(x.is_secret, '{mark}', x.value))"
+    text, path = _column(text_col), f"cast({_column(path_col)} as string)" if path_col else "''"
+    own = f"transform({findings(text, path, scanner, threshold)}, x -> if(x.is_secret, '{mark}', x.value))"
     whole = f"array_join(flatten(zip_with(split({text}, '{pattern}', -1), {own}, (s, r) -> array(s, coalesce(r, '')))), '')"
     return F.expr(f"if({text} rlike '{pattern}', {whole}, {text})")
 
 
-def redact(docs: DataFrame, *, forest: str | None = None, text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, *, scanner: Scanner | None = None, text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the secrets in its texts marked, and the length column set anew where a text has changed.
 
-    No row goes; rows without a secret, and those with a null text, are as they were.
+    ``scanner``: None learns one from ``docs``.  No row goes; rows without a
+    secret, and those with a null or empty text, are as they were; so is an empty
+    table.  Columns of any name stay.
     """
-    forest = forest or train_forest(labelled_findings(docs.sparkSession))
-    clean = redacted(text_col, path_col, forest, threshold)
-    out = docs.withColumn("__clean", clean)
-    changed = ~F.col("__clean").eqNullSafe(F.col(text_col))
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(changed, F.char_length("__clean")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.withColumn(text_col, F.col("__clean")).select(*docs.columns)
+    scanner = scanner or learn(docs, text_col=text_col)
+    # both in one struct, so that no name can clash
+    clean = redacted(text_col, path_col, scanner, threshold)
+    columns = [F.col(_column(c)) for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), clean.alias("clean"))
+    changed = ~F.col("clean").eqNullSafe(F.col("row")[text_col])
+    out = []
+    for c in docs.columns:
+        value = F.col("row")[c]
+        if c == text_col:
+            value = F.col("clean")
+        elif c == length_col:
+            value = F.when(changed, F.char_length("clean")).otherwise(value).cast(docs.schema[c].dataType)
+        out.append(value.alias(c))
+    return rows.select(*out)

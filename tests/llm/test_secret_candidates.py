@@ -26,32 +26,32 @@ PLAIN = ["the password: required for all", "password = os.environ.get(KEY)", "to
 
 
 @pytest.fixture(scope="module")
-def forest(spark):
-    return secret_scan.train_forest(secret_scan.labelled_findings(spark))
+def scanner(spark):
+    return secret_scan.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
 
 
-def test_secrets_by_context_and_format(spark, forest):
+def test_secrets_by_context_and_format(spark, scanner):
     values = [v or "ya29.a0AfH6SMBx7Qk2LmN9pRtVwZ3" for _, v in SECRETS]
     rows = [(i, t.format(v) if w else f"was {v}") for i, ((t, w), v) in enumerate(zip(SECRETS, values, strict=True))]
     docs = spark.createDataFrame([(i, t, "notes.txt") for i, t in rows], "doc_id long, text string, source string")
-    found = {r.doc_id: r.value for r in secret_scan.scan(docs, forest=forest).where("is_secret").collect()}
+    found = {r.doc_id: r.value for r in secret_scan.scan(docs, scanner=scanner).where("is_secret").collect()}
     assert found == dict(enumerate(values))
-    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, forest=forest).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, scanner=scanner).collect()}
     assert clean == {i: t.replace(values[i], "<SECRET>") for i, t in rows}
 
 
-def test_a_value_of_letters_in_order_is_judged(spark, forest):
+def test_a_value_of_letters_in_order_is_judged(spark, scanner):
     docs = spark.createDataFrame([(1, 'api_key="abcdefghijklmnopqrstuvwxyzABCDEF"', "x")], "doc_id long, text string, source string")
-    assert [r.value for r in secret_scan.scan(docs, forest=forest).collect()] == ["abcdefghijklmnopqrstuvwxyzABCDEF"]
+    assert [r.value for r in secret_scan.scan(docs, scanner=scanner).collect()] == ["abcdefghijklmnopqrstuvwxyzABCDEF"]
 
 
-def test_plain_values_and_paths_stay(spark, forest):
+def test_plain_values_and_paths_stay(spark, scanner):
     docs = spark.createDataFrame([(i, t, "notes.txt") for i, t in enumerate(PLAIN)], "doc_id long, text string, source string")
-    assert [r.text for r in secret_scan.redact(docs, forest=forest).orderBy("doc_id").collect()] == PLAIN
+    assert [r.text for r in secret_scan.redact(docs, scanner=scanner).orderBy("doc_id").collect()] == PLAIN
 
 
-def test_long_values_end(spark, forest):
+def test_long_values_end(spark, scanner):
     texts = ["password=" + "a&" * 50_000, 'token = "' + "x.1" * 50_000 + '"', "https://host.example/" + "a/1" * 50_000, "://" * 50_000, "eyJ" + "a1.b" * 50_000]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    assert secret_scan.redact(docs, forest=forest).count() == len(texts)
-    assert secret_scan.scan(docs, forest=forest).count() > 0
+    assert secret_scan.redact(docs, scanner=scanner).count() == len(texts)
+    assert secret_scan.scan(docs, scanner=scanner).count() > 0
