@@ -12,7 +12,9 @@ occurs side by side in the benchmark, and the chain of such pairs must be as
 long as the shortest window that begins with the position's word.  This never
 loses a match; it makes the array as small as the suspicious text.
 
-No row is shuffled.  The benchmark goes to the tasks in blocks of bounded size.
+No row is shuffled.  The benchmark goes to the executors in blocks of bounded
+size; a task holds one of them at a time, so a larger benchmark takes longer, and
+not more memory.
 """
 
 from __future__ import annotations
@@ -225,14 +227,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     give repeated results.  Other columns are not read.
     """
     shared = benchmark_blocks(benchmark, text_col=text_col, window=window, block_bytes=block_bytes)
-    schema = f"{id_col} {as_type(docs.schema, id_col)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, items array<string>, spans array<struct<start:long,length:long>>"
+    schema = f"doc {as_type(docs.schema, id_col)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, items array<string>, spans array<struct<start:long,length:long>>"
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_texts = texts(batch.column(1))
-            for a, b in chunks(all_texts):
-                hits, items, longest = match_shard([words(t) for t in all_texts[a:b]], [s.value for s in shared])
+            for a, b, hits, items, longest in match_texts(all_texts, shared):
                 n_words, n_hit = [len(h) for h in hits], [int(h.sum()) for h in hits]
                 names = [sorted(s) for s in items]
                 yield pa.RecordBatch.from_arrays(
@@ -247,10 +248,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
                         pa.array(names, pa.list_(pa.string())),
                         pa.array([_spans(h) for h in hits], spans_type),
                     ],
-                    names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "items", "spans"],
+                    names=["doc", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "items", "spans"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("doc", id_col)
+
+
+def match_texts(all_texts: list[bytes], shared: list, window_words=words) -> Iterator[tuple[int, int, list[np.ndarray], list[set[str]], list[int]]]:
+    """For each shard (first, stop) of the texts what :func:`match_shard` finds, with all blocks.
+
+    Texts are read anew for each block, and a block that isn't the only one is
+    let go after that: it stays on the executor's disk.
+    """
+    shards = list(chunks(all_texts))
+    found: list[tuple[list[np.ndarray], list[set[str]], list[int]]] = []
+    for s in shared:
+        for i, (a, b) in enumerate(shards):
+            hits, items, longest = match_shard([window_words(t) for t in all_texts[a:b]], [s.value])
+            if i == len(found):
+                found.append((hits, items, longest))
+            else:
+                before = found[i]
+                found[i] = ([x | y for x, y in zip(before[0], hits, strict=True)], [x | y for x, y in zip(before[1], items, strict=True)], [max(x) for x in zip(before[2], longest, strict=True)])
+        if len(shared) > 1:
+            s.__dict__.pop("_value", None)
+    for (a, b), (hits, items, longest) in zip(shards, found, strict=True):
+        yield a, b, hits, items, longest
 
 
 def _spans(hit: np.ndarray) -> list[dict]:
@@ -270,8 +293,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_texts = texts(batch.column(at))
-            for a, b in chunks(all_texts):
-                hits, _, _ = match_shard([words(t) for t in all_texts[a:b]], [s.value for s in shared])
+            for a, b, hits, _, _ in match_texts(all_texts, shared):
                 yield batch.slice(a, b - a).filter(pa.array([not h.any() or one_in * int(h.sum()) < len(h) for h in hits]))
 
     return docs.mapInArrow(run, docs.schema)

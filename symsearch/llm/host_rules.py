@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symsearch.llm.common import as_type, texts, written
+from symsearch.llm.common import as_type, texts, unused, written
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -125,9 +125,11 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "sourc
     columns = docs.columns
     verdicts = host_verdicts(measured(docs, [host_col], text_col), "k0", bad_rate, trusted_rate)
     # written, so that Spark knows its size when it chooses the join
-    special = written(verdicts.where("verdict != 'normal'").select(F.col("k0").alias("__host"), F.col("verdict").alias("__verdict")), "special-hosts")
+    special = written(verdicts.where("verdict != 'normal'").select(F.col("k0").alias("host"), "verdict"), "special-hosts")
     at = columns.index(text_col)
-    names = [*columns, "__hard", "__soft"]
+    soft_, host_, verdict_ = (unused(x, columns) for x in ("soft", "host", "verdict"))
+    names = [*columns, soft_]
+    special = special.withColumnsRenamed({"host": host_, "verdict": verdict_})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +138,9 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "sourc
                 hard.append(n < 50 or 100 * rep > 50 * n)
                 soft.append(10 * symbols > n or 2 * dup > lines or chars < 2 * n or chars > 15 * n)
             keep = pa.array([not x for x in hard], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hard, pa.bool_()), pa.array(soft, pa.bool_())], names=names).filter(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(soft, pa.bool_())], names=names).filter(keep)
 
-    tried = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("__hard", T.BooleanType()), T.StructField("__soft", T.BooleanType())]))
-    joined = tried.join(special, tried[host_col] == special["__host"], "left")
-    verdict = F.coalesce("__verdict", F.lit("normal"))
-    return joined.where((verdict != "bad") & ((verdict == "trusted") | ~F.col("__soft"))).select(*(tried[c] for c in columns))
+    tried = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(soft_, T.BooleanType())]))
+    joined = tried.join(special, tried[host_col] == special[host_], "left")
+    verdict = F.coalesce(special[verdict_], F.lit("normal"))
+    return joined.where((verdict != "bad") & ((verdict == "trusted") | ~tried[soft_])).select(*(tried[c] for c in columns))

@@ -194,7 +194,9 @@ def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 def sequences(pieces: DataFrame, *, length: int = LENGTH, pad: int = 0) -> DataFrame:
     """(``sequence_id``, ``n_tokens``, ``ids``) of each window: its pieces put together.
 
-    A shorter sequence is padded to ``length``, except at a power of two.
+    A shorter sequence is padded to ``length``, except at a power of two.  No
+    pieces give no sequences; an end token alone is a piece, so documents without
+    text are in them too.
     """
     ordered = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
     put = pieces.groupBy("sequence_id").agg(ordered.alias("p"))

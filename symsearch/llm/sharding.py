@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symsearch.llm.common import unused
+
 #: Production parameters: a prime, and the shards' names.
 SLOTS = 65537
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -54,7 +56,7 @@ def place(df: DataFrame, key: str = "doc_id", *, shards: list[str] = SHARDS, slo
     """``df`` with the slot and the shard's name of each row, in the columns named (in place of columns of these names).
 
     Rows with one key share a shard; rows with a null key go where an empty text
-    goes.  Choose a key with many values: a hot key can only be in one shard.
+    goes; an empty table stays empty.  Choose a key with many values: a hot key can only be in one shard.
     """
     # a literal: Catalyst folds it to one array, which goes to the tasks with the code
     owners = F.split(F.lit(",".join(map(str, lookup_table(shards, slots)))), ",").cast("array<int>")
@@ -66,8 +68,10 @@ def place(df: DataFrame, key: str = "doc_id", *, shards: list[str] = SHARDS, slo
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", *, shards: list[str] = SHARDS, slots: int = SLOTS, parts: int = 1) -> None:
     """Write ``df`` as Parquet in one folder for each shard, in about ``parts`` files each.
 
-    A column ``shard`` is replaced.  A salt from the key deals a shard's rows over ``parts`` tasks.
+    A column ``shard`` is replaced.  A salt from the key and the row's task deals
+    a shard's rows over ``parts`` tasks, those of a hot key too.
     """
-    placed = place(df, key, shards=shards, slots=slots, slot_col="__slot", shard_col="shard")
-    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(parts))
-    placed.repartition(len(shards) * parts, "shard", salt).drop("__slot").write.partitionBy("shard").parquet(path)
+    slot = unused("slot", df.columns)
+    placed = place(df, key, shards=shards, slots=slots, slot_col=slot, shard_col="shard").drop(slot)
+    salt = F.pmod(F.xxhash64(F.col(key)) + F.spark_partition_id(), F.lit(parts))
+    placed.repartition(len(shards) * parts, "shard", salt).write.partitionBy("shard").parquet(path)

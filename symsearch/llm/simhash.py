@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symsearch.llm.common import LOWER, as_type, chunks, texts, written
@@ -170,5 +170,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if again.isEmpty():
         return left
     again = written(again, "again")
-    one = left.join(again, id_col, "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("__nth = 1")
-    return left.join(again, id_col, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    # the least text, found by each task first: an id may be most rows'
+    row, text = F.struct(*docs.columns), F.col(text_col)
+    one = left.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min_by(row, F.struct(text.isNotNull(), text)).alias("r")).select("r.*")
+    return left.join(again, id_col, "left_anti").select(*docs.columns).union(one)

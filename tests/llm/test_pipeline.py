@@ -7,6 +7,7 @@ import corpus_pipeline
 from symsearch.llm import host_rules, queries, secret_scan
 from tests.llm.fixtures import odd
 from tests.llm.test_first_operators import plain_components, plain_hits, plain_measures, plain_print
+from tests.llm.test_plain_models import PlainScan
 
 
 def test_pipeline_against_brute_force(spark, sf_dir):
@@ -24,7 +25,12 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         facts[r.doc_id] = hard, soft
         hosts[r.source][0] += 1
         hosts[r.source][1] += hard or soft
-    a, b = host_rules.beta_prior(len(hosts), sum(n for n, _ in hosts.values()), sum(f for _, f in hosts.values()), sum(f * f / n for n, f in hosts.values()))
+    total = sum(n for n, _ in hosts.values())
+    mean = sum(f for _, f in hosts.values()) / total
+    # what the hosts' rates vary beyond chance, by moments
+    beyond = sum(f * f / n for n, f in hosts.values()) / total - mean**2 - (len(hosts) - 1) * mean * (1 - mean) / total
+    strength = min(1e6, max(1.0, mean * (1 - mean) / beyond - 1)) if beyond > mean * (1 - mean) / 1e6 else 1e6
+    a, b = mean * strength, (1 - mean) * strength
     rate = {h: (f + a) / (n + a + b) for h, (n, f) in hosts.items()}
     left = [r for r in docs if not facts[r.doc_id][0] and rate[r.source] < host_rules.BAD_RATE and (rate[r.source] < host_rules.TRUSTED_RATE or not facts[r.doc_id][1])]
     # near duplicates
@@ -32,10 +38,11 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     left = [r for r in left if groups[r.doc_id] == r.doc_id]
     # decontamination
     left = [r for r in left if not (h := plain_hits(r.text, items))[1] or 20 * h[1] < h[0]]
-    # secrets, by the operator's findings; their redaction is tested on its own
-    chosen = spark.createDataFrame(left)
-    forest = secret_scan.train_forest(secret_scan.labelled_findings(spark))
-    texts = {r.doc_id: r.text for r in secret_scan.redact(chosen, forest=forest).collect()}
+    # secrets: the forest is the operator's own, what it is given and what becomes of the texts is not
+    labelled = secret_scan.labelled_findings(spark)
+    scanner = secret_scan.learn(spark.createDataFrame(left), labelled)
+    plain = PlainScan([r.text for r in left], labelled, scanner.forest)
+    texts = {r.doc_id: plain.redact(r.text, r.source) for r in left}
     coder = Tokenizer.from_file(queries.word_bpe())
     want = {k: len(coder.encode(t, add_special_tokens=False).ids) + 1 for k, t in texts.items()}
     got = defaultdict(int)
