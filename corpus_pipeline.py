@@ -11,27 +11,36 @@ from symsearch.llm.queries import table, word_bpe
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules, or their host's verdict, reject go."""
+    """Documents that the rules, or their host's verdict, reject go.
+
+    Those with a null or empty text have no words, and go; a null host is like a normal one.
+    """
     return host_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
+    """One document of each group of near copies stays: that with the smallest id.
+
+    Of rows that repeat an id one stays; rows with a null id all stay.
+    """
     return simhash.deduplicate(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of which at least one word in twenty lies in a passage of the benchmark."""
+    """Documents go of which at least one word in twenty lies in a passage of the benchmark.
+
+    Null and empty texts stay, and all do if the benchmark is empty.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are redacted; no document goes."""
+    """Secrets are redacted; no document goes, and null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document in sequences of 4096 tokens."""
+    """The pieces of each document in sequences of 4096 tokens; a null text is empty, and no documents give no pieces."""
     pieces = packing.pack(docs, word_bpe())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
