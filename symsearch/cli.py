@@ -104,7 +104,7 @@ def run_index(spark: SparkSession, args: argparse.Namespace, settings: config_.C
     path = index_path(args, make=True) if not args.delete else args.index_path or index_.default_path(args.directory)
     if args.delete:
         for gone in index_.delete_index(path, dry_run=args.dry_run):
-            print(f"{'would delete' if args.dry_run else 'deleted'} {'directory' if os.path.isdir(gone) else 'file'} {gone}")
+            print(f"{'would delete' if args.dry_run else 'deleted'} {'file' if gone.endswith('.json') else 'directory'} {gone}")
     files = None
     if args.files_from:
         with sys.stdin if args.files_from == "-" else open(args.files_from) as f:

@@ -7,6 +7,8 @@ import os
 import tomllib
 from dataclasses import asdict, dataclass, field
 
+from symsearch.plans.symbols import MACHINES
+
 log = logging.getLogger("symsearch")
 
 # Fixed value: how a symbol's code is shown by default.
@@ -73,6 +75,8 @@ class Config:
                 out.tools["default"] = default
                 for machine, own in value.items():
                     if machine != "default":
+                        if machine not in (known := ("NONE", *MACHINES.values())):
+                            raise ValueError(f"{machine!r} in {where}: {key} is no kind of machine; these are: {', '.join(sorted(set(known)))}")
                         _set(tools := Tools(**asdict(default)), own, f"{where}: {key}.{machine}")
                         out.tools[machine] = tools
             elif key in ("path", "directory"):

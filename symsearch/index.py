@@ -1,16 +1,19 @@
 """An index: a Parquet table of symbols, with the terms that searches need, and its metadata.
 
-Each write makes a new version beside the old one and then moves a pointer, so
-readers always see a whole version and a failed write changes nothing.
+It lies in a folder of any file system that Spark knows.  Each write makes a new
+version beside the old one and then a new metadata file that names it, numbered
+one above the last: of two writers only one can make that file, readers always
+see a whole version, and a failed write changes nothing.
 """
 
 from __future__ import annotations
 
-import fcntl
+import glob
 import json
 import os
 import shutil
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from symsearch.functions.terms import basename, name_terms, normalise_path, unsigned_order
 from symsearch.operators import completion, fileset, ranking, tools
+from symsearch.operators.checkpoints import checkpointed
 from symsearch.plans import postings
 from symsearch.plans.compiler import search
 from symsearch.plans.fields import NameField, PathField, ReferencesField, Schema, SchemaError, path_columns, terms_column
@@ -27,8 +31,9 @@ from symsearch.plans.parser import Parser
 from symsearch.plans.postings import RID
 from symsearch.plans.symbols import DEFAULT_FIELDS, SCHEMA, SYMBOL
 from symsearch.sources import compdb
-from symsearch.sources.elf import is_elf, read_symbols, stat_files
+from symsearch.sources.elf import read_symbols, stat_files
 from symsearch.sources.files import CombinedSource, CompilationDatabaseSource, FileSource, GlobSource, StaticSource, exclude, exclusion_stats
+from symsearch.sources.store import Store
 
 
 class IndexProblem(RuntimeError):
@@ -55,7 +60,9 @@ class ModifiedError(IndexProblem):
     """Another writer was faster."""
 
 
-META = "_meta.json"
+#: Metadata files by number; the highest counts.
+META = "_meta.{:010d}.json"
+META_GLOB = "_meta.*.json"
 
 
 @dataclass
@@ -82,19 +89,20 @@ class SymbolIndex:
     """Open with :meth:`open`; close, or use it in a ``with``."""
 
     def __init__(self, spark: SparkSession, path: str, schema: Schema, readonly: bool) -> None:
-        self.spark, self.path, self.schema, self.readonly = spark, path, schema, readonly
+        self.spark, self.store, self.schema, self.readonly = spark, Store(spark, path), schema, readonly
+        self.path = self.store.path
         self._open, self._pending, self._base = True, None, None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, *, readonly: bool = False, schema: Schema = SCHEMA) -> SymbolIndex:
         """Made if it isn't there and is opened for writing; a SchemaError if it was made with another schema."""
         index = cls(spark, path, schema, readonly)
-        if not os.path.isfile(os.path.join(path, META)):
+        if not _metas(index.store):
             if readonly:
                 raise DoesNotExistError(f"no index in {path}")
-            os.makedirs(path, exist_ok=True)
-            index._put({"__schema__": schema.described(), "__data__": None})
-        elif index._meta()["__schema__"] != json.loads(json.dumps(schema.described())):
+            index.store.make()
+            index.store.put_new(META.format(1), json.dumps({"__schema__": schema.described(), "__data__": None}))
+        if index._meta()["__schema__"] != json.loads(json.dumps(schema.described())):
             raise SchemaError(f"the index in {path} was made with another schema: delete it and index again")
         return index
 
@@ -108,21 +116,16 @@ class SymbolIndex:
         self.close()
 
     def _meta(self) -> dict:
-        with open(os.path.join(self.path, META)) as f:
-            return json.load(f)
+        return _last_meta(self.store)[1]
 
-    def _put(self, meta: dict) -> None:
-        new = os.path.join(self.path, f"{META}.{uuid.uuid4().hex}")
-        with open(new, "w") as f:
-            json.dump(meta, f)
-        os.replace(new, os.path.join(self.path, META))
-
-    @contextmanager
-    def _locked(self):
-        """No other writer can look at the pointer and then move it meanwhile; a writer that dies lets go."""
-        with open(os.path.join(self.path, "_lock"), "w") as f:
-            fcntl.flock(f, fcntl.LOCK_EX)
-            yield
+    def _change_meta(self, change: Callable[[dict], dict]) -> None:
+        """Write what ``change`` makes of the metadata; again, if another writer was faster."""
+        while True:
+            n, meta = _last_meta(self.store)
+            if self.store.put_new(META.format(n + 1), json.dumps(change(meta))):
+                break
+        for old in _metas(self.store)[:-3]:  # some stay for those who have just listed them
+            self.store.delete(old)
 
     def _check(self, writing: bool = False) -> None:
         if not self._open:
@@ -144,9 +147,7 @@ class SymbolIndex:
         self._check(writing=True)
         if not key:
             raise ValueError("empty key")
-        with self._locked():
-            meta = self._meta()
-            self._put({**meta, "kv": {**meta.get("kv", {}), key: value}})
+        self._change_meta(lambda meta: {**meta, "kv": {**meta.get("kv", {}), key: value}})
 
     @property
     def binary_dir(self) -> str | None:
@@ -158,18 +159,17 @@ class SymbolIndex:
         if self._pending is not None:
             return self._pending
         data = self._meta()["__data__"]
-        return self.with_terms(self.spark.createDataFrame([], SYMBOL)).withColumn(RID, F.lit(0).cast("long")) if data is None else self.spark.read.parquet(os.path.join(self.path, data, "rows"))
+        return self.with_terms(self.spark.createDataFrame([], SYMBOL)).withColumn(RID, F.lit(0).cast("long")) if data is None else self.spark.read.parquet(self.store.child(f"{data}/rows"))
 
     def build_postings(self) -> None:
         """Write the postings of the version there is: searches for names use them until the next write."""
         self._check(writing=True)
         if data := self._meta()["__data__"]:
-            postings.postings(self.rows(), self.schema).write.mode("overwrite").parquet(os.path.join(self.path, data, "postings"))
+            postings.postings(self.rows(), self.schema).write.mode("overwrite").parquet(self.store.child(f"{data}/postings"))
 
     def _postings(self) -> DataFrame | None:
         data = None if self._pending is not None else self._meta()["__data__"]
-        where = os.path.join(self.path, data, "postings") if data else ""
-        return self.spark.read.parquet(where) if data and os.path.isfile(os.path.join(where, "_SUCCESS")) else None
+        return self.spark.read.parquet(self.store.child(f"{data}/postings")) if data and self.store.exists(f"{data}/postings/_SUCCESS") else None
 
     def symbols(self) -> DataFrame:
         return self.rows().select(*SYMBOL.fieldNames())
@@ -203,16 +203,21 @@ class SymbolIndex:
     def _write(self, rows: DataFrame) -> None:
         name = f"v-{uuid.uuid4().hex}"
         # sorted within files by path, so that row groups can be skipped
-        rows.sortWithinPartitions("path", "address").withColumn(RID, F.monotonically_increasing_id()).write.parquet(os.path.join(self.path, name, "rows"))
-        with self._locked():
-            meta = self._meta()
+        rows.sortWithinPartitions("path", "address").withColumn(RID, F.monotonically_increasing_id()).write.parquet(self.store.child(f"{name}/rows"))
+        oldest = None
+
+        def moved(meta: dict) -> dict:
+            nonlocal oldest
             if meta["__data__"] != self._base:
-                shutil.rmtree(os.path.join(self.path, name))
+                self.store.delete(name)
                 raise ModifiedError("another writer has changed the index")
-            self._put({**meta, "__data__": name, "__before__": self._base})
+            oldest = meta.get("__before__")
+            return {**meta, "__data__": name, "__before__": self._base}
+
+        self._change_meta(moved)
         # the version before stays for those who are reading it
-        if oldest := meta.get("__before__"):
-            shutil.rmtree(os.path.join(self.path, oldest), ignore_errors=True)
+        if oldest:
+            self.store.delete(oldest)
 
     def _changed(self, change) -> None:
         self._check(writing=True)
@@ -275,8 +280,8 @@ def hits(index: SymbolIndex, query: str, limit: int | None = None) -> DataFrame:
     """Ranked hits with ``outdated``, ``index`` and ``total``."""
     rows = index.search(query, limit=limit, ranked=True)
     numbered = ranking.with_ordinals(rows, F.desc("score"), "path", unsigned_order("address"), "name").drop("score")
-    named = [r.p for r in numbered.select(F.explode(F.array("path", "source")).alias("p")).where("p is not null").distinct().toLocalIterator()]
-    return fileset.with_staleness(numbered, stat_files(index.spark, named)).orderBy("index")
+    named = numbered.select(F.explode(F.array("path", "source")).alias("path")).where("path is not null").distinct()
+    return fileset.with_staleness(numbered, stat_files(named)).orderBy("index")
 
 
 def _sources(spark: SparkSession, directory: str, changed: DataFrame, options: Options) -> DataFrame | None:
@@ -298,11 +303,10 @@ def index_directory(spark: SparkSession, directory: str, index_path: str, *, opt
     with SymbolIndex.open(spark, index_path) as index:
         if index.binary_dir is None and not dry_run:
             index.set_metadata("binary_dir", directory)
-        found = source.paths(spark, directory).distinct()
+        found = checkpointed(source.paths(spark, directory).distinct())
         charged = {r.pattern: r.n for r in exclusion_stats(found, list(exclusions), directory).collect()}
-        # a listing is the driver's, as its times must be exact to the nanosecond
-        readable = [p for p in (r.path for r in exclude(found, list(exclusions), directory).toLocalIterator()) if is_elf(p)]
-        current = stat_files(spark, readable)
+        # looked at once, so that all that follows sees the same files and times
+        current = checkpointed(stat_files(exclude(found, list(exclusions), directory), elf_only=True))
         known = index.all_files()
         newest = 0 if reindex else index.mtime()
         changed = current if reindex else fileset.changed_files(current, known, newest)
@@ -324,35 +328,48 @@ def index_directory(spark: SparkSession, directory: str, index_path: str, *, opt
         return stats
 
 
-def delete_index(path: str, *, metadata_too: bool = False, dry_run: bool = False) -> list[str]:
+def _metas(store: Store) -> list[str]:
+    return [n for n in store.names() if n.startswith("_meta.") and n.endswith(".json")]
+
+
+def _last_meta(store: Store) -> tuple[int, dict]:
+    name = _metas(store)[-1]
+    return int(name.split(".")[1]), json.loads(store.read(name))
+
+
+def delete_index(path: str, *, metadata_too: bool = False, dry_run: bool = False, spark: SparkSession | None = None) -> list[str]:
     """Delete an index's data (and its metadata); the paths that go, none if there is no index."""
-    meta = os.path.join(path, META)
-    if not os.path.isfile(meta):
+    store = Store(spark or SparkSession.builder.getOrCreate(), path)
+    metas = _metas(store)
+    if not metas:
         return []
-    gone = [os.path.join(path, n) for n in sorted(os.listdir(path)) if n.startswith("v-")] + ([meta] if metadata_too else [])
+    gone = [n for n in store.names() if n.startswith("v-")] + (metas if metadata_too else [])
     if not dry_run:
-        for p in gone:
-            shutil.rmtree(p) if os.path.isdir(p) else os.remove(p)
         if not metadata_too:
-            with open(meta) as f:
-                kept = json.load(f)
-            with open(meta, "w") as f:
-                json.dump({**kept, "__data__": None, "__before__": None}, f)
-    return gone
+            n, meta = _last_meta(store)
+            if not store.put_new(META.format(n + 1), json.dumps({**meta, "__data__": None, "__before__": None})):
+                raise ModifiedError("another writer has changed the index")
+        for name in gone:
+            store.delete(name)
+    return [store.child(name) for name in gone]
+
+
+def default_folder() -> str:
+    """Where indexes are kept if nobody says."""
+    return os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "symsearch", "index")
 
 
 def default_path(directory: str) -> str:
     """Where the index of a directory is kept if nobody says."""
-    base = os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache")
-    return os.path.join(base, "symsearch", "index", "!".join(os.path.realpath(directory).strip("/").split("/")))
+    return os.path.join(default_folder(), "!".join(os.path.realpath(directory).strip("/").split("/")))
 
 
 def find_index(directory: str) -> str | None:
-    """The index of a directory or of the nearest one above it."""
-    at = os.path.realpath(directory)
-    while True:
-        if os.path.isfile(os.path.join(default_path(at), META)):
-            return default_path(at)
-        if (up := os.path.dirname(at)) == at:
-            return None
-        at = up
+    """Of the indexes in the default folder that of a directory, or of the nearest one above it: by the directory that is stored in each."""
+    asked, found = os.path.realpath(directory), {}
+    for meta in sorted(glob.glob(os.path.join(glob.escape(default_folder()), "*", META_GLOB))):
+        with open(meta) as f:
+            of = json.load(f).get("kv", {}).get("binary_dir")
+        if of and os.path.commonpath((of, asked)) == of:
+            found[of] = os.path.dirname(meta)
+    return found[max(found, key=len)] if found else None

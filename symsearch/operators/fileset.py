@@ -60,11 +60,13 @@ def with_staleness(rows: DataFrame, stats: DataFrame) -> DataFrame:
     A symbol is outdated if its file's time isn't the indexed one (a missing file
     has time 0); a binary is, if its source is known and newer.
     """
-    own = stats.select(F.col("path").alias("path"), F.col("mtime").alias("__own"))
-    of_source = stats.select(F.col("path").alias("source"), F.col("mtime").alias("__source"))
-    own_time, source_time = F.coalesce("__own", F.lit(0)), F.coalesce("__source", F.lit(0))
+    taken = {c.lower() for c in rows.columns}
+    a, b = (next(n for n in ("_" * k + x for k in range(1, 99)) if n not in taken) for x in ("own", "of_source"))
+    own = stats.select(F.col("path").alias("path"), F.col("mtime").alias(a))
+    of_source = stats.select(F.col("path").alias("source"), F.col("mtime").alias(b))
+    own_time, source_time = F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))
     flags = F.struct((F.col("source").isNotNull() & (own_time < source_time)).alias("binary"), (own_time != F.col("mtime")).alias("symbol"))
-    return rows.join(own, "path", "left").join(of_source, "source", "left").withColumn("outdated", flags).drop("__own", "__source")
+    return rows.join(own, "path", "left").join(of_source, "source", "left").withColumn("outdated", flags).drop(a, b)
 
 
 def stale_counts(rows: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 In each section the symbol before an offset is the last of those with the
 highest address below it, and the symbol after it the first of those with the
 lowest address at or above it.  The owner is the first of both that covers the
-offset.  Symbols are linked to the one after them in order; then one pass over the
-union of symbols and offsets, ordered within each section, finds both: no pair of
-a symbol and an offset that don't belong together is ever made.
+offset; so the one after it can only own it if it begins just there.  One pass
+over the union of symbols and offsets, ordered within each section, finds both:
+no pair of a symbol and an offset that don't belong together is ever made, and
+rows are dealt and sorted once.
 """
 
 from __future__ import annotations
@@ -23,25 +24,19 @@ def owners(symbols: DataFrame, relocations: DataFrame) -> DataFrame:
     (file, section, r_offset, target).  ord: a symbol's place in its file.
     """
     # addresses are unsigned: as longs that are ordered as they are
-    symbols, relocations = symbols.withColumn("address", unsigned_order("address")), relocations.withColumn("r_offset", unsigned_order("r_offset"))
-    sym = F.struct("address", "size", "ord", "name")
-    section = Window.partitionBy("file", "section")
-    by_address = section.orderBy("address", "ord")
-    # each symbol with the one after it: what follows the symbol before an offset is not below the offset;
-    # before the first one stands a mark that covers nothing
-    s = symbols.select("file", "section", sym.alias("p"), F.lead(sym).over(by_address).alias("q"), F.row_number().over(by_address).alias("nth"))
-    own = F.struct(F.lit(2).alias("kind"), F.col("p.address").alias("at"), F.col("p.ord").alias("tie"), F.struct("p", "q").alias("sym"))
-    mark = F.struct(F.lit(0).alias("kind"), F.lit(-(1 << 63)).alias("at"), F.lit(0).cast("long").alias("tie"), F.struct(F.lit(None).cast(s.schema["p"].dataType).alias("p"), F.col("p").alias("q")).alias("sym"))
-    s = s.select("file", "section", F.explode(F.when(F.col("nth") == 1, F.array(mark, own)).otherwise(F.array(own))).alias("x")).select("file", "section", "x.kind", "x.at", "x.tie", "x.sym", F.lit(None).cast("string").alias("target"))
-    r = relocations.select("file", "section", F.lit(1).alias("kind"), F.col("r_offset").alias("at"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast(s.schema["sym"].dataType).alias("sym"), "target")
-    rows = s.union(r)
-    # an offset stands before the symbols at its address: those are not below it
-    order = section.orderBy("at", "kind", "tie")
-    before = F.last("sym", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    both = rows.withColumn("near", before).where("kind = 1").select("file", "section", "at", "target", "near.p", "near.q")
-    covers = lambda c: (F.col(f"{c}.address") <= F.col("at")) & (F.col("at") < F.col(f"{c}.address") + F.col(f"{c}.size"))
-    owner = F.when(covers("p"), F.col("p")).when(covers("q"), F.col("q"))
-    found = both.withColumn("owner", owner).where("owner is not null")
+    address = unsigned_order("address")
+    sym = F.struct(address.alias("address"), "ord", "size", "name")
+    s = symbols.select("file", "section", address.alias("at"), F.lit(0).alias("kind"), F.col("ord").alias("tie"), sym.alias("sym"), F.lit(None).cast("string").alias("target"))
+    r = relocations.select("file", "section", unsigned_order("r_offset").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast(s.schema["sym"].dataType).alias("sym"), "target")
+    # an offset stands behind the symbols at its address
+    earlier = Window.partitionBy("file", "section").orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = s.union(r).withColumn("before", F.last("sym", ignorenulls=True).over(earlier))
+    first_there = F.col("sym").isNotNull() & (F.col("before").isNull() | (F.col("before.address") < F.col("at")))
+    rows = rows.withColumn("there", F.last(F.when(first_there, F.struct(F.col("before").alias("p"), F.col("sym").alias("q"))), ignorenulls=True).over(earlier))
+    same = F.col("before.address") == F.col("at")
+    near = rows.where("kind = 1 and before is not null").select("file", "section", "at", "target", F.when(same, F.col("there.p")).otherwise(F.col("before")).alias("p"), F.when(same, F.col("there.q")).alias("q"))
+    covers = lambda c: F.col("at") < F.col(f"{c}.address") + F.col(f"{c}.size")
+    found = near.withColumn("owner", F.when(covers("p"), F.col("p")).when(covers("q"), F.col("q"))).where("owner is not null")
     return found.select("file", "section", unsigned_order("at").alias("r_offset"), "target", F.col("owner.ord").alias("ord"), F.col("owner.name").alias("name"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import shlex
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,13 +17,16 @@ from pyspark.sql import functions as F
 
 from symsearch.config import Config
 from symsearch.functions.terms import basename, hashed, name_terms, normalise_path, tokenize, truncated
+from symsearch.index import SymbolIndex
 from symsearch.operators import completion, fileset, graph, output, ranking, tools
+from symsearch.operators.checkpoints import shared_folder
 from symsearch.operators.relocations import owners, reference_lists
 from symsearch.plans import postings
 from symsearch.plans.compiler import search
 from symsearch.plans.fields import EnumField, ExactField, IntegerField, NameField, PathField, ReferencesField, Schema, TextField
 from symsearch.plans.lexer import QueryError
 from symsearch.plans.parser import Parser
+from symsearch.plans.symbols import SYMBOL
 from symsearch.sources import compdb
 from symsearch.sources.elf import elf_of, has_magic, read_symbols
 from symsearch.sources.files import CombinedSource, FrameSource, exclusion_stats, first_exclusion
@@ -675,5 +679,49 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.scored(sym(spark, sf_dir), "red OR giz", SYM_PARSER).select("id", F.round("score", 9).alias("score"))
 
 
+# An index of all symbols: then the files of one brand are indexed again, with sizes one higher, and those of another are gone.
+INDEXED_SQL = f"""{SYM_SQL}, now as (select id, name, demangled, path, address, case when starts_with(path, '/build/Brand_1') then size + 1 else size end as size
+ from sym where not starts_with(path, '/build/Brand_2'))"""
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> SymbolIndex:
+    rows = sym(spark, sf_dir).withColumns({"arch": F.lit("X86_64"), "relocations": F.array().cast("array<string>")}).select(*SYMBOL.fieldNames())
+    changed = rows.where(F.col("path").startswith("/build/Brand_1"))
+    index = SymbolIndex.open(spark, f"{shared_folder(spark)}/symsearch-index-{uuid.uuid4().hex}")
+    index.add_symbols(rows)
+    index.replace_files(changed.withColumn("size", F.col("size") + 1), changed.select("path"), rows.where(F.col("path").startswith("/build/Brand_2")).select("path"))
+    return index
+
+
+@query(f"with {INDEXED_SQL} select name, path, size from now where {any_name('red')} and size between 10 and 40")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in an index after a change, over its postings."""
+    index = indexed(spark, sf_dir)
+    index.build_postings()
+    return index.search("red size:10..40").select("name", "path", "size")
+
+
+@query(f"with {INDEXED_SQL} select name, address, size from now where path = (select max(path) from now)")
+def index_rows_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = indexed(spark, sf_dir)
+    return index.rows_of(index.all_files().agg(F.max("path")).first()[0]).select("name", "address", "size")
+
+
+HINTED = ("catalog::redgizmo(", "catalog::nothing(", "red (", "catalog::hot")
+
+
+@query(f"with {SYM_SQL}, q as (select * from (values {', '.join(f'({q!r})' for q in HINTED)}) v(query)) select query, exists(select 1 from sym where starts_with(lower(name), lower(query)) or starts_with(lower(demangled), lower(query))) as hinted from q")
+def quoting_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ill-formed queries get a hint if they begin a name."""
+    index = indexed(spark, sf_dir)
+    said = []
+    for q in HINTED:
+        try:
+            index.search(q)
+        except QueryError as e:
+            said.append((q, "forget to quote" in str(e)))
+    return spark.createDataFrame(said, "query string, hinted boolean")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["flagship"](spark, os.environ.get("SYMSEARCH_TABLES", "/root/testdata/sf0.001"))

@@ -230,12 +230,22 @@ def read_symbols(spark: SparkSession, files: DataFrame, *, demangle_names: bool
     return rows.select(*SYMBOL.fieldNames()), entries.where("kind = 'error'").select("path", "error")
 
 
-def stat_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, mtime in nanoseconds) of files, 0 for a missing one; the driver looks, as file listings do."""
-    rows = []
-    for p in paths:
-        try:
-            rows.append((p, os.stat(p).st_mtime_ns))
-        except OSError:
-            rows.append((p, 0))
-    return spark.createDataFrame(rows, "path string, mtime long")
+def stat_files(files: DataFrame, elf_only: bool = False) -> DataFrame:
+    """(path, mtime in nanoseconds) of the files in a frame with a ``path`` column, 0 for a missing one; ``elf_only``: of the ELF files alone.
+
+    The tasks look, where the files must be, as they are when they are read.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p in batch["path"]:
+                if elf_only and not is_elf(p):
+                    continue
+                try:
+                    rows.append((p, os.stat(p).st_mtime_ns))
+                except OSError:
+                    rows.append((p, 0))
+            yield pd.DataFrame(rows, columns=["path", "mtime"])
+
+    return files.select("path").mapInPandas(look, "path string, mtime long")

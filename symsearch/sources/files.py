@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +52,37 @@ class GlobSource(FileSource):
     globs: tuple[str, ...] = DEFAULT_GLOBS
 
     def paths(self, spark: SparkSession, root: str) -> DataFrame:
-        below, whole = [g for g in self.globs if not os.path.isabs(g)], [g for g in self.globs if os.path.isabs(g)]
-        found = _walk(root, below, lambda path: os.path.relpath(path, root)) if below else set()
-        for g in whole:
-            # from the last folder before the first sign of a pattern on
-            found |= _walk(os.path.dirname(re.split(r"[*?\[{]", g)[0]), [g], lambda path: path)
-        return spark.createDataFrame([(f,) for f in sorted(found)], "path string")
+        below = tuple(g for g in self.globs if not os.path.isabs(g))
+        out = _found(spark, root, below, root)
+        for g in self.globs:
+            if os.path.isabs(g):
+                # from the last folder before the first sign of a pattern on
+                out = out.union(_found(spark, os.path.dirname(re.split(r"[*?\[{]", g)[0]), (g,), "/"))
+        return out.distinct()
 
 
-def _walk(folder: str, globs: list[str], name: Callable[[str], str]) -> set[str]:
-    wanted = re.compile("|".join(f"(?:{glob_regex(g)})" for g in globs))
-    return {path for d, _, names in os.walk(folder) for f in names if wanted.match(name(path := os.path.join(d, f)))}
+def _found(spark: SparkSession, folder: str, globs: tuple[str, ...], root: str) -> DataFrame:
+    """(path) of the files in and below a folder whose part below ``root`` matches a glob (the whole path for ``/``); each of its folders is walked by a task."""
+    top = next(os.walk(folder), (folder, [], []))
+    starts = [(folder, False), *((p, True) for d in sorted(top[1]) if not os.path.islink(p := os.path.join(folder, d)))]
+    pattern = "|".join(f"(?:{glob_regex(g)})" for g in globs) or "(?!)"
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, found = re.compile(pattern), []
+        for batch in batches:
+            for start, deep in zip(batch["path"], batch["deep"], strict=True):
+                for d, folders, names in os.walk(start):
+                    paths = [os.path.join(d, f) for f in names]
+                    found += [p for p in paths if wanted.match(p if root == "/" else os.path.relpath(p, root))]
+                    if not deep:
+                        folders.clear()
+                    if len(found) >= 10_000:
+                        yield pd.DataFrame({"path": found}, dtype=object)
+                        found = []
+        yield pd.DataFrame({"path": found}, dtype=object)
+
+    rows = spark.createDataFrame(starts, "path string, deep boolean")
+    return rows.repartition(min(len(starts), 64)).mapInPandas(walk, "path string")
 
 
 @dataclass

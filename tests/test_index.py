@@ -347,6 +347,8 @@ indexing.index-relocations = true
     there = main_.for_directory(str(own))
     assert there.indexing.index_relocations and there.indexing.exclude == ["**/*.so"] and not main_.indexing.index_relocations
     assert there.for_machine("X86_64").addr2line == "special-addr2line" and there.for_machine("X86_64").disassembler == "objdump -M intel"
+    with pytest.raises(ValueError, match="CRAY.*X86_64"):
+        config.Config.of({"arch": {"CRAY": {}}})
     (own / "libc.so.6").write_bytes(b"x")
     (own / "b.o").write_bytes(b"x")
     found = GlobSource(("*.o", f"{tmp_path}/some/*/libc*.so*")).paths(spark, str(own))
@@ -381,3 +383,29 @@ def test_goals_stop_when_reached(spark):
     found = graph.routes(edges, starts, goals, num_routes=None, progress=graph.Progress(visited=seen.append))
     assert {r.goal: r.path for r in found.collect()} == {9: [20, 9], 30: [1, 2, 3, 30]}
     assert [bool(n) for n in seen] == [True, True, True, False]
+
+
+def test_a_store_by_its_name(spark, tmp_path):
+    """An index in a folder that is named as Hadoop names it; the metadata's number decides between writers."""
+    where = f"file://{tmp_path}/some/i"
+    rows = spark.createDataFrame([("NONE", "/a.o", None, "n", None, ".text", 1, 8, "FUNC", [], 1)], SCHEMA_ROW)
+    with index_.SymbolIndex.open(spark, where) as index:
+        index.add_symbols(rows)
+        index.build_postings()
+        for i in range(6):
+            index.set_metadata("k", str(i))
+        assert index.search("n").count() == 1 and index.get_metadata("k") == "5"
+        metas = [n for n in index.store.names() if n.startswith("_meta")]
+        assert len(metas) == 3 and not index.store.put_new(metas[-1], "x") and index.get_metadata("k") == "5"
+        assert not [n for n in index.store.names() if n.startswith("_part")]
+    assert index_.SymbolIndex.open(spark, f"{tmp_path}/some/i", readonly=True).symbols().count() == 1
+    assert len(index_.delete_index(where, metadata_too=True)) == 4 and index_.delete_index(where) == []
+
+
+def test_indexes_are_found_by_what_they_are_of(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path / "cache"))
+    (tmp_path / "a" / "b" / "c").mkdir(parents=True)
+    for name, of in (("one", tmp_path / "a"), ("two", tmp_path / "a" / "b")):
+        index_.SymbolIndex.open(spark, os.path.join(index_.default_folder(), name)).set_metadata("binary_dir", str(of))
+    found = lambda p: index_.find_index(str(tmp_path / p))
+    assert [found(p) and os.path.basename(found(p)) for p in ("a", "a/b", "a/b/c", "ab", ".")] == ["one", "two", "two", None, None]
