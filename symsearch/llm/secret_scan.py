@@ -36,14 +36,15 @@ from symsearch.llm.common import discard, written
 #: A name whose value is a secret, up to its value.
 NAMED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key|auth|credentials?)[\x22\x27]?\s{0,3}(?:=>|:=|[=:])\s{0,3}"
 #: What such a name is given: 8 or more characters of any kind, up to the other quote, or up to a blank or the next parameter.
-VALUE = rf"(?:(?<=[\x22\x27])(?<={NAMED}[\x22\x27])[^\s\x22\x27]{{8,}}|(?<=[=:>\s])(?<={NAMED}|(?i:bearer)\s{{1,3}})(?=[^\s\x22\x27,;<>]{{8}})[^\s\x22\x27,;<>&]*(?:&(?!\w{{1,30}}=)[^\s\x22\x27,;<>&]*){{0,8}}(?<![.:?)\]}}&]))"
+VALUE = rf"(?:(?<=[\x22\x27])(?<={NAMED}[\x22\x27])[^\s\x22\x27]{{8,}}|(?<=[=:>\s])(?:(?<=[=:>]\s{{0,3}})(?<={NAMED})|(?<=(?i:bearer)\s{{1,3}}))(?=[^\s\x22\x27,;<>]{{8}})[^\s\x22\x27,;<>&]*(?:&(?!\w{{1,30}}=)[^\s\x22\x27,;<>&]*){{0,8}}(?<![.:?)\]}}&]))"
 #: The password of a URL, and a path after its host, with a digit.
 IN_URL = r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@]{4,}(?=@)|(?<=[^/:]/)(?<=://[^\s/\x22\x27<>]{1,100}/)(?=[A-Za-z_+/.~%-]*+[0-9])[A-Za-z0-9_+/.~%-]{12,}(?<![.])"
 #: Parts of token characters with dots between.
 DOTTED = r"(?<![A-Za-z0-9_+/.@-])(?:eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*){0,3}(?<![.])|(?:SG|ya29)\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})?|(?=[A-Za-z_.-]*+[0-9])[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{6,}){1,3})"
 #: A run of 12 or more token characters with a digit, and padding, where no such character, dot or @ is before; not a secret's name.
 RUN = rf"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/-]*+[0-9])(?![A-Za-z0-9_+/-]*{NAMED})[A-Za-z0-9_+/-]{{12,}}+={{0,2}}"
-CANDIDATE = f"{VALUE}|{IN_URL}|{DOTTED}|{RUN}"
+#: What none of them has before it is asked first, as most places in a text are inside a word.
+CANDIDATE = f"(?<![A-Za-z0-9_])(?:{VALUE}|{IN_URL}|{DOTTED}|{RUN})"
 #: How much text before and after a candidate is looked at.
 BEFORE, AFTER = 48, 24
 #: So many pieces of text and candidates hold more than that: each two have five characters.
@@ -121,7 +122,7 @@ FORM = {
 FORM = {k: v.replace("\\", "\\\\") for k, v in FORM.items()}
 
 #: Production parameters: frequent words of the documents in the dictionary; words of labelled findings that count, and in how many findings they have to be.
-DICTIONARY, ODDS, LEAST = 4000, 150, 8
+DICTIONARY, ODDS, LEAST = 2000, 150, 8
 #: Of the forest; a finding is a secret from THRESHOLD on.
 LABELLED, TREES, DEPTH, THRESHOLD = 6000, 15, 7, 0.5
 
@@ -254,8 +255,9 @@ def learn(docs: DataFrame, labelled: DataFrame | None = None, *, text_col: str =
 
     frequent, pairs = corpus_counts(docs, text_col)
     labelled = labelled_findings(docs.sparkSession) if labelled is None else labelled
-    even = F.pmod(F.xxhash64("c", "b"), F.lit(2)) == 0
-    first, second = labelled.where(even), labelled.where(~even)
+    # written, as several plans read them
+    labelled = written(labelled.select("c", "b", "a", "p", "label", (F.pmod(F.xxhash64("c", "b"), F.lit(2)) == 0).alias("even")), "labelled")
+    first, second = labelled.where("even"), labelled.where("not even")
     false = first.where("label = 0").selectExpr(f"explode(array_distinct({_words('c')})) as w").where("length(w) > 2").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
     words = sorted({*frequent, *(r.w for r in false.collect())})
     measures = FORM | {

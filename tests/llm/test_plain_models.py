@@ -183,7 +183,7 @@ class PlainScan:
             z = symbols(w)
             for ab in zip(z, z[1:], strict=False):
                 self.pairs[ab] += n
-        self.counted = [w for w, n in sorted(frequent.items(), key=lambda x: (-x[1], x[0])) if n][:4000]
+        self.counted = [w for w, n in sorted(frequent.items(), key=lambda x: (-x[1], x[0])) if n][: secret_scan.DICTIONARY]
         total = Counter()
         for (a, _), n in self.pairs.items():
             total[a] += n
