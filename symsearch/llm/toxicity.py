@@ -92,10 +92,11 @@ class Chain:
 
     def inputs(self, buckets: list[np.ndarray], form: np.ndarray) -> np.ndarray:
         x = np.zeros((len(buckets), len(self.words)))
-        for i, b in enumerate(buckets):
-            if len(self.words):
-                at = np.minimum(np.searchsorted(self.words, b), len(self.words) - 1)
-                x[i, at[self.words[at] == b]] = 1
+        if len(self.words) and len(buckets):
+            rows, flat = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]), np.concatenate(buckets)
+            at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
+            own = self.words[at] == flat
+            x[rows[own], at[own]] = 1
         return np.hstack((x, np.clip((form - self.mean) / self.scale, -4, 4) / 2))
 
     def predict(self, all_texts: list[bytes]) -> np.ndarray:
